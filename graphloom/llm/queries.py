@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from graphloom.llm import split, tokenize
+from graphloom.llm import neighbours, split, tokenize
 from graphloom.sources.tables import read
 
 
+def p5_found(spark, d):
+    return neighbours.similar_pairs(read(spark, d, "node_vectors"))
+
+
 def p6_ids(spark, d):
     return tokenize.encode(read(spark, d, "documents").select("doc_id", "text")).select("doc_id", "ids")
 
@@ -18,5 +22,5 @@ def p8_pieces(spark, d):
     return split.split(read(spark, d, "documents").select("doc_id", "text")).select("doc_id", "piece_no", "own_start", "start", "tokens", "piece")
 
 
-QUERIES = {f.__name__: f for f in (p6_ids, p8_found, p8_pieces)}
+QUERIES = {f.__name__: f for f in (p5_found, p6_ids, p8_found, p8_pieces)}
 ORACLE: dict[str, str] = {}
