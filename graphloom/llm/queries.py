@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.llm import neighbours, split, tokenize
+from graphloom.llm import leaks, neighbours, split, tokenize
 from graphloom.sources.tables import read
 
 
@@ -14,6 +14,10 @@ def p6_ids(spark, d):
     return tokenize.encode(read(spark, d, "documents").select("doc_id", "text")).select("doc_id", "ids")
 
 
+def p7_found(spark, d):
+    return leaks.find_leaks(read(spark, d, "documents"), read(spark, d, "eval_items"))
+
+
 def p8_found(spark, d):
     return split.split(read(spark, d, "documents").select("doc_id", "text")).filter("piece_no = 1").select("doc_id")
 
@@ -22,5 +26,5 @@ def p8_pieces(spark, d):
     return split.split(read(spark, d, "documents").select("doc_id", "text")).select("doc_id", "piece_no", "own_start", "start", "tokens", "piece")
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p6_ids, p8_found, p8_pieces)}
+QUERIES = {f.__name__: f for f in (p5_found, p6_ids, p7_found, p8_found, p8_pieces)}
 ORACLE: dict[str, str] = {}
