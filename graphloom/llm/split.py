@@ -152,7 +152,7 @@ def _tail(ws: list[str], s: int, b: int, encoder: bpe.Bpe) -> int:
 
 
 def cut(docs: DataFrame, text: str = "text", *, limit: int = LIMIT, overlap: int = OVERLAP, vocab: str = bpe.DEFAULT_VOCAB) -> DataFrame:
-    """``docs`` with ``cuts``: the pieces of ``text`` as own_start, start, end, tokens (null for texts too short to be encoded)."""
+    """``docs`` with ``cuts``: the pieces of ``text`` as own_start, start, end, tokens (tokens null for texts too short to be encoded, end -1 for whole texts)."""
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be under the limit")
     shared = share(docs.sparkSession, vocab)
@@ -166,7 +166,7 @@ def cut(docs: DataFrame, text: str = "text", *, limit: int = LIMIT, overlap: int
         for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
             own = counts[a:b]
             if a == b:
-                out.append(None)
+                out.append([dict(own_start=0, start=0, end=-1, tokens=None)])
             elif own.sum() <= limit:
                 out.append([dict(own_start=0, start=0, end=-1, tokens=int(own.sum()))])
             else:
@@ -174,14 +174,13 @@ def cut(docs: DataFrame, text: str = "text", *, limit: int = LIMIT, overlap: int
         return pa.array(out, pa.list_(pa.struct([(c, pa.int32()) for c in ("own_start", "start", "end", "tokens")])))
 
     long = F.when(F.octet_length(text) > limit, F.col(text))
-    return docs.withColumn("cuts", find(words(long)))
+    # Not deterministic only in name: the optimizer would run it again for a filter that it infers from explode.
+    return docs.withColumn("cuts", find.asNondeterministic()(words(long)))
 
 
 def split(docs: DataFrame, text: str = "text", *, limit: int = LIMIT, overlap: int = OVERLAP, vocab: str = bpe.DEFAULT_VOCAB) -> DataFrame:
     """One row per piece: the columns of ``docs`` but the text, piece_no, n_pieces, own_start, tokens (null: under the limit) and piece."""
-    one = F.array(F.struct(F.lit(0).alias("own_start"), F.lit(0).alias("start"), F.lit(-1).alias("end"), F.lit(None).cast("int").alias("tokens")))
     c = cut(docs, text, limit=limit, overlap=overlap, vocab=vocab)
-    c = c.withColumn("cuts", F.coalesce("cuts", one))
     rest = [x for x in docs.columns if x != text]
     p = c.select(*rest, F.col(text).alias("_text"), F.size("cuts").alias("n_pieces"), F.posexplode("cuts").alias("piece_no", "_cut"))
     end = F.when(F.col("_cut.end") < 0, F.char_length(F.coalesce("_text", F.lit("")))).otherwise(F.col("_cut.end"))
