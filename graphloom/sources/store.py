@@ -103,6 +103,21 @@ class Store:
         now = dt.datetime.now(dt.UTC).replace(tzinfo=None).isoformat(timespec="milliseconds")
         self.files.create(f"manifests/{n:012d}.json", {"version": n, "schema": schema, "tables": tables, "next_node": next_node, "next_edge": next_edge, "summary": summary, "time": now, "tx": tx})
 
+    def put_frames(self, frames: dict[str, DataFrame], summary: str = "load frames") -> Version:
+        """Replace whole tables (``node:T``, ``edge:E``) by DataFrames that have their ids already, in one commit."""
+        base = self.version()
+        tables = {}
+        for name, df in frames.items():
+            kind, _, t = name.partition(":")
+            schema = (base.catalog.nodes if kind == "node" else base.catalog.edges)[t].spark()
+            tables[name] = [self.write(name, df.select(*[F.col(f.name).cast(f.dataType) for f in schema]))]
+        top = {"node": base.next_node, "edge": base.next_edge}
+        for name, paths in tables.items():
+            most = self.spark.read.parquet(*[self.files.url(p) for p in paths]).agg(F.max("id")).first()[0]
+            kind = name.partition(":")[0]
+            top[kind] = max(top[kind], (most or 0) + 1)
+        return self.commit(base, tables, summary=summary, next_node=top["node"], next_edge=top["edge"])
+
     def commit(self, base: Version, tables: dict[str, list[str]], *, summary: str, next_node: int | None = None, next_edge: int | None = None, schema: str | None = None, changes: DataFrame | None = None) -> Version:
         """Make ``tables`` (whole lists of folders of the tables that change) the next version."""
         n = base.number + 1
