@@ -77,20 +77,18 @@ def bm25(df: DataFrame, text: Column, q: str, out: str) -> DataFrame:
     terms = sorted(counts)
     if not terms:
         return df.withColumn(out, F.lit(0.0))
-    have = tokens(text)
-    stats = df.select(have.alias("t")).filter("t is not null").agg(
-        F.count("*").alias("n"), F.avg(F.size("t")).alias("avgdl"), *[F.count(F.when(F.array_contains("t", w), 1)).alias(f"df{i}") for i, w in enumerate(terms)]
-    )
+    # Length and term frequencies are a projection of their own, so that a text is cut into tokens once.
+    t = F.col("_tokens")
+    counted = df.withColumn("_tokens", tokens(text)).withColumns({"_dl": F.size(t)} | {f"_tf{i}": F.size(t) - F.size(F.array_remove(t, w)) for i, w in enumerate(terms)})
+    stats = counted.filter(t.isNotNull()).agg(F.count("*").alias("n"), F.avg("_dl").alias("avgdl"), *[F.count(F.when(F.col(f"_tf{i}") > 0, 1)).alias(f"df{i}") for i in range(len(terms))])
     stats = stats.select(F.struct("*").alias("_bm25"))
     # The aggregate has one row, whatever the input.
-    scored = df.join(F.broadcast(stats))
+    scored = counted.withColumn("_null", t.isNull()).drop("_tokens").join(F.broadcast(stats))
     s = F.col("_bm25")
-    length = F.size(have).cast("double")
-    norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.when(s["avgdl"] > 0, length / s["avgdl"]).otherwise(0.0))
+    norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.when(s["avgdl"] > 0, F.col("_dl").cast("double") / s["avgdl"]).otherwise(0.0))
     score = F.lit(0.0)
     for i, w in enumerate(terms):
-        tf = (F.size(have) - F.size(F.array_remove(have, w))).cast("double")
-        freq = s[f"df{i}"].cast("double")
+        tf, freq = F.col(f"_tf{i}").cast("double"), s[f"df{i}"].cast("double")
         idf = F.log(1 + (s["n"] - freq + 0.5) / (freq + 0.5))
         score = score + F.when(tf > 0, idf * (tf * (K1 + 1)) / (tf + norm) * counts[w]).otherwise(0.0)
-    return scored.withColumn(out, F.when(text.isNull(), 0.0).otherwise(score)).drop("_bm25")
+    return scored.withColumn(out, F.when(F.col("_null"), 0.0).otherwise(score)).drop("_bm25", "_dl", "_null", *[f"_tf{i}" for i in range(len(terms))])

@@ -34,6 +34,18 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def over_cores(df: DataFrame, file_bytes: int = 128 << 20) -> DataFrame:
+    """Spread a table of fewer files than cores over the cores, before a costly function of each row.
+
+    A Parquet file can't be read by more tasks than it has row groups (about ``file_bytes`` each), so a table of few small
+    files would keep most cores idle. At most ``file_bytes`` per core are shuffled for that; larger tables never are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    files = len(df.inputFiles())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if 0 < max(files, size // file_bytes) < cores else df
+
+
 def small_or_plain(df: DataFrame, max_rows: int) -> DataFrame:
     """Hint a broadcast only after counting that ``df`` has at most ``max_rows`` rows; else leave it to the planner."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
