@@ -10,49 +10,20 @@ from __future__ import annotations
 
 import base64
 import heapq
-import sys
-import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
+import regex
 
 DEFAULT_VOCAB = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: White space as Unicode's White_Space has it; spelled out, for the regex classes of Java differ.
+#: White space as Unicode's White_Space has it; spelled out, for classes of regex engines differ.
 SPACE = r"\t-\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
-
-
-def word_pattern(letters: str = "", numbers: str = "") -> str:
-    """How a text is cut into words before merging, as a Java pattern; the parts cover every character.
-
-    ``letters`` and ``numbers``: class ranges that the JVM's Unicode tables don't have yet.
-    """
-    a, n = rf"\p{{L}}{letters}", rf"\p{{N}}{numbers}"
-    return rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{a}]+| ?[{n}]+| ?[^{SPACE}{a}{n}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-
-
-def _ranges(points: list[int]) -> str:
-    out: list[list[int]] = []
-    for p in points:
-        if out and out[-1][1] == p - 1:
-            out[-1][1] = p
-        else:
-            out.append([p, p])
-    return "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in out)
-
-
-def newer_ranges(jvm) -> tuple[str, str]:
-    """The letters and numbers that Python's Unicode tables have and the JVM's lack."""
-    found = []
-    for major in "LN":
-        known = "".join(chr(c) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c))[0] == major)
-        left = jvm.java.util.regex.Pattern.compile(rf"\p{{{major}}}+").matcher(known).replaceAll("")
-        found.append(_ranges(sorted(map(ord, left))))
-    return found[0], found[1]
-
-
+#: How a text is cut into words before merging; the parts cover every character.
+WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 #: Words kept in a worker's memory; beyond, the memory starts anew.
 CACHE_WORDS = 400_000
+#: Characters that are handled at once; a longer text is handled alone.
+CHUNK_CHARS = 1_000_000
 
 
 def read_vocab(path: str = DEFAULT_VOCAB) -> bytes:
@@ -60,13 +31,27 @@ def read_vocab(path: str = DEFAULT_VOCAB) -> bytes:
         return f.read()
 
 
+class _Cache(dict):
+    """Words to numbers; a new word is merged when it is first asked for."""
+
+    def __init__(self, bpe: Bpe):
+        self.bpe, self.ids, self.sizes = bpe, [], []
+
+    def __missing__(self, word: str) -> int:
+        ids = self.bpe.merge(word.encode())
+        n = self[word] = len(self.sizes)
+        self.ids += ids
+        self.sizes.append(len(ids))
+        return n
+
+
 class Bpe:
     """A vocabulary of ranks (a token's id is its rank), from the lines ``base64 rank``."""
 
     def __init__(self, vocab: bytes):
         self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in vocab.splitlines() if line)}
         self.strings = {i: s for s, i in self.ranks.items()}
-        self.cache: dict[str, list[int]] = {}
+        self.cache = _Cache(self)
 
     def merge(self, word: bytes) -> list[int]:
         """The ids of one word."""
@@ -95,34 +80,53 @@ class Bpe:
                 heapq.heappush(queue, (r, h, len(sym[h]) + len(sym[i])))
         return [ranks[s] for s in sym if s is not None]
 
-    def word(self, word: str) -> list[int]:
-        ids = self.cache.get(word)
-        if ids is None:
-            if len(self.cache) >= CACHE_WORDS:
-                self.cache.clear()
-            ids = self.merge(word.encode())
-            if len(word) <= 64:
-                self.cache[word] = ids
-        return ids
+    def size(self, word: str) -> int:
+        """The number of ids of one word."""
+        n = self.cache.get(word)
+        return len(self.merge(word.encode())) if n is None else self.cache.sizes[n]
 
     def decode(self, ids) -> str:
         return b"".join(self.strings[i] for i in ids).decode("utf-8", errors="replace")
 
-    def lists(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of a list<string> array: row offsets into the words, each word's number of ids, the ids' offsets by word, all ids."""
-        offsets = words.offsets.to_numpy()
-        flat = words.flatten()
-        offsets = offsets - offsets[0]
-        coded = pc.dictionary_encode(flat)
-        own = [self.word(w) for w in coded.dictionary.to_pylist()]
-        at = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        sizes = np.fromiter(map(len, own), np.int64, len(own))
-        pool = np.fromiter((i for ids in own for i in ids), np.int32, int(sizes.sum()))
-        starts = np.concatenate(([0], np.cumsum(sizes)))
-        n = sizes[at]
-        ends = np.concatenate(([0], np.cumsum(n)))
-        ids = pool[np.repeat(starts[at] - ends[:-1], n) + np.arange(ends[-1])]
-        return offsets, n, ends, ids
+    def chunks(self, texts: list[str | None]) -> Iterator[Chunk]:
+        """The texts, in order, in chunks of about CHUNK_CHARS characters."""
+        at = 0
+        while at < len(texts):
+            end, chars = at, 0
+            while end < len(texts) and (end == at or chars + len(texts[end] or "") <= CHUNK_CHARS):
+                chars += len(texts[end] or "")
+                end += 1
+            yield self._chunk(texts[at:end])
+            at = end
+
+    def _chunk(self, texts: list[str | None]) -> Chunk:
+        if len(self.cache) > CACHE_WORDS:
+            self.cache = _Cache(self)
+        words: list[str] = []
+        offsets = np.zeros(len(texts) + 1, np.int64)
+        for i, t in enumerate(texts):
+            if t:
+                words += WORDS.findall(t)
+            offsets[i + 1] = len(words)
+        numbers = np.fromiter(map(self.cache.__getitem__, words), np.int64, len(words))
+        return Chunk(words, offsets, numbers, np.array(self.cache.sizes, np.int64), self.cache)
+
+
+class Chunk:
+    """Texts cut into words: the words of text i are words[offsets[i] : offsets[i + 1]]."""
+
+    def __init__(self, words: list[str], offsets: np.ndarray, numbers: np.ndarray, sizes: np.ndarray, cache: _Cache):
+        self.words, self.offsets, self.numbers, self.sizes, self.cache = words, offsets, numbers, sizes, cache
+        #: The number of tokens of each word.
+        self.counts = sizes[numbers] if len(numbers) else np.zeros(0, np.int64)
+
+    def ids(self) -> tuple[np.ndarray, np.ndarray]:
+        """(offsets, ids): the token ids of text i are ids[offsets[i] : offsets[i + 1]]."""
+        pool = np.array(self.cache.ids, np.int32)
+        starts = np.concatenate(([0], np.cumsum(self.sizes)))
+        ends = np.concatenate(([0], np.cumsum(self.counts)))
+        at = np.repeat(starts[self.numbers] - ends[:-1], self.counts) + np.arange(ends[-1])
+        return ends[self.offsets], pool[at]
 
 
 _held: tuple[bytes, Bpe] | None = None

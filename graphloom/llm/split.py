@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from graphloom.llm import bpe
-from graphloom.llm.tokenize import share, words
+from graphloom.llm.tokenize import share
+from graphloom.util import over_cores
 
 LIMIT, OVERLAP = 1000, 100
 #: Boundaries from the strongest; a pattern's end is where the cut is (for headings: its start).
@@ -52,10 +53,13 @@ def merge(sizes: list[int], strengths: list[int], room: int) -> list[int]:
     """The numbers of the segments that begin a piece. strengths[i]: of the boundary before segment i."""
     n, size = len(sizes), list(sizes)
     left, right, alive = list(range(-1, n - 1)), [*range(1, n), -1], [True] * n
-    heap = [(strengths[i + 1], size[i] + size[i + 1], i) for i in range(n - 1) if size[i] + size[i + 1] <= room]
+    # An entry is one number: strength, combined size, place. Numbers compare faster than tuples.
+    heap = [(strengths[i + 1] << 64) + ((size[i] + size[i + 1]) << 32) + i for i in range(n - 1) if size[i] + size[i + 1] <= room]
     heapq.heapify(heap)
+    pop, push, low = heapq.heappop, heapq.heappush, (1 << 32) - 1
     while heap:
-        _, both, i = heapq.heappop(heap)
+        entry = pop(heap)
+        i, both = entry & low, entry >> 32 & low
         j = right[i]
         if not alive[i] or j < 0 or size[i] + size[j] != both:
             continue  # stale
@@ -64,20 +68,20 @@ def merge(sizes: list[int], strengths: list[int], room: int) -> list[int]:
         if k >= 0:
             left[k] = i
             if both + size[k] <= room:
-                heapq.heappush(heap, (strengths[k], both + size[k], i))
+                push(heap, (strengths[k] << 64) + ((both + size[k]) << 32) + i)
         h = left[i]
         if h >= 0 and size[h] + both <= room:
-            heapq.heappush(heap, (strengths[i], size[h] + both, h))
+            push(heap, (strengths[i] << 64) + ((size[h] + both) << 32) + h)
     return [i for i in range(n) if alive[i]]
 
 
 def _parts(word: str, encoder: bpe.Bpe, most: int) -> list[tuple[str, int]]:
     """A word with more than ``most`` tokens as runs of characters with their tokens."""
-    ids = encoder.word(word)
-    if len(ids) <= most:
-        return [(word, len(ids))]
+    n = encoder.size(word)
     half = len(word) // 2
-    return _parts(word[:half], encoder, most) + _parts(word[half:], encoder, most) if half else [(word, len(ids))]
+    if n <= most or not half:
+        return [(word, n)]
+    return _parts(word[:half], encoder, most) + _parts(word[half:], encoder, most)
 
 
 def pieces(all_words: list[str], counts: np.ndarray, encoder: bpe.Bpe, limit: int, overlap: int) -> list[tuple[int, int, int, int]]:
@@ -141,13 +145,13 @@ def _count(ws: list[str], cut_words: set[int], at: int, encoder: bpe.Bpe) -> int
             joined.append(w)
     if len(joined) > 1 and joined[-1].isspace() and joined[-2].isspace():
         joined[-2:] = [joined[-2] + joined[-1]]
-    return sum(len(encoder.word(w)) for w in joined)
+    return sum(map(encoder.size, joined))
 
 
 def _tail(ws: list[str], s: int, b: int, encoder: bpe.Bpe) -> int:
     """What the tokens of ws[s:b] change by when white space stands at the end: two words of it are then one."""
     if b < len(ws) and b - s > 1 and ws[b - 1].isspace() and ws[b - 2].isspace():
-        return len(encoder.word(ws[b - 2] + ws[b - 1])) - len(encoder.word(ws[b - 2])) - len(encoder.word(ws[b - 1]))
+        return encoder.size(ws[b - 2] + ws[b - 1]) - encoder.size(ws[b - 2]) - encoder.size(ws[b - 1])
     return 0
 
 
@@ -158,24 +162,21 @@ def cut(docs: DataFrame, text: str = "text", *, limit: int = LIMIT, overlap: int
     shared = share(docs.sparkSession, vocab)
 
     @F.arrow_udf(PIECES)
-    def find(w: pa.Array) -> pa.Array:
-        encoder = bpe.held(shared)
-        offsets, counts, _, _ = encoder.lists(w)
-        flat = w.flatten()
-        out = []
-        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-            own = counts[a:b]
-            if a == b:
-                out.append([dict(own_start=0, start=0, end=-1, tokens=None)])
-            elif own.sum() <= limit:
-                out.append([dict(own_start=0, start=0, end=-1, tokens=int(own.sum()))])
-            else:
-                out.append([dict(zip(("own_start", "start", "end", "tokens"), p, strict=True)) for p in pieces(flat.slice(a, b - a).to_pylist(), own, encoder, limit, overlap)])
+    def find(texts: pa.Array) -> pa.Array:
+        encoder, out = bpe.held(shared), []
+        for chunk in encoder.chunks(texts.to_pylist()):
+            ends = np.concatenate(([0], np.cumsum(chunk.counts)))[chunk.offsets]
+            for a, b, n in zip(chunk.offsets[:-1].tolist(), chunk.offsets[1:].tolist(), np.diff(ends).tolist(), strict=True):
+                if n <= limit:
+                    out.append([{"own_start": 0, "start": 0, "end": -1, "tokens": n if b > a else None}])
+                else:
+                    out.append([dict(zip(("own_start", "start", "end", "tokens"), p, strict=True)) for p in pieces(chunk.words[a:b], chunk.counts[a:b], encoder, limit, overlap)])
         return pa.array(out, pa.list_(pa.struct([(c, pa.int32()) for c in ("own_start", "start", "end", "tokens")])))
 
+    docs = over_cores(docs)
     long = F.when(F.octet_length(text) > limit, F.col(text))
     # Not deterministic only in name: the optimizer would run it again for a filter that it infers from explode.
-    return docs.withColumn("cuts", find.asNondeterministic()(words(long)))
+    return docs.withColumn("cuts", find.asNondeterministic()(long))
 
 
 def split(docs: DataFrame, text: str = "text", *, limit: int = LIMIT, overlap: int = OVERLAP, vocab: str = bpe.DEFAULT_VOCAB) -> DataFrame:

@@ -1,7 +1,8 @@
 """Encoding of a whole corpus with a public tokenizer.
 
-Texts are cut into words on the JVM; a vectorised Arrow UDF looks up each distinct word of a batch (see ``bpe``) and
-gathers the ids. There is no shuffle; the vocabulary (a file of fixed size) is broadcast.
+A vectorised Arrow UDF cuts texts into words and merges each distinct word once (see ``bpe``); the ids of a chunk of
+texts are gathered at once. There is no shuffle but for inputs of fewer files than cores; the vocabulary (a file of fixed
+size) is broadcast.
 
 Defined results: null, and the empty text, give an empty list; markers of special tokens are ordinary text; every row
 comes out once, repeated rows as often as they are there; further columns pass through.
@@ -9,25 +10,14 @@ comes out once, repeated rows as often as they are there; further columns pass t
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from graphloom.llm import bpe
-
-
-@functools.cache
-def _pattern() -> str:
-    return bpe.word_pattern(*bpe.newer_ranges(SparkSession.active()._jvm))
-
-
-def words(text: Column) -> Column:
-    """The words of a text, without loss: concatenated they are the text."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_pattern()), F.lit(0))
+from graphloom.util import over_cores
 
 
 def share(spark, vocab: str):
@@ -39,11 +29,16 @@ def encode(docs: DataFrame, text: str = "text", ids: str = "ids", *, vocab: str
     shared = share(docs.sparkSession, vocab)
 
     @F.arrow_udf(ArrayType(IntegerType()))
-    def to_ids(w: pa.Array) -> pa.Array:
-        offsets, _, ends, all_ids = bpe.held(shared).lists(w)
-        return pa.ListArray.from_arrays(pa.array(ends[offsets].astype(np.int32)), pa.array(all_ids))
-
-    return docs.withColumn(ids, to_ids(words(F.col(text))))
+    def to_ids(texts: pa.Array) -> pa.Array:
+        parts, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for chunk in bpe.held(shared).chunks(texts.to_pylist()):
+            offsets, own = chunk.ids()
+            parts.append(own)
+            sizes.append(np.diff(offsets))
+        offsets = np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
+        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.concatenate(parts)))
+
+    return over_cores(docs).withColumn(ids, to_ids(text))
 
 
 def decode(docs: DataFrame, ids: str = "ids", text: str = "decoded", *, vocab: str = bpe.DEFAULT_VOCAB) -> DataFrame:
