@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.util import over_cores
+
 MASKS = ("11111", "1101101", "11001011")
 WORDS, ONE_IN, MOST_CHANGES, REACH = 16, 8, 4, 40
 SHARED = 8
@@ -251,7 +253,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", ite
         n += len(ws)
     blocks.append(Index(block, shared, words))
     spark = docs.sparkSession
-    corpus = docs.select(doc_id, text).filter(F.length(text) >= 2 * words)
+    corpus = over_cores(docs.select(doc_id, text)).filter(F.length(text) >= 2 * words)
     kind = docs.schema[doc_id].dataType.simpleString()
     out = None
     for index in blocks:
