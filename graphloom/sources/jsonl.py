@@ -7,6 +7,7 @@ load fails with the first messages before anything is written.
 
 from __future__ import annotations
 
+import os
 from decimal import Decimal
 from functools import reduce
 
@@ -17,6 +18,7 @@ from graphloom.errors import ConstraintError, LoadError
 from graphloom.functions.vector import embed_texts
 from graphloom.plans.schema import EdgeType, NodeType, Prop
 from graphloom.plans.types import INTEGERS, PropType
+from graphloom.sources.media import import_media
 from graphloom.sources.store import Store, Version, number
 
 MODES = ("overwrite", "append", "merge")
@@ -61,7 +63,7 @@ def _scalar(v: str, t: PropType) -> tuple[Column, Column]:
     return value, value.isNotNull()
 
 
-def _prop(p: Prop) -> tuple[Column, Column]:
+def _prop(p: Prop, filled: bool = False) -> tuple[Column, Column]:
     """(value, message or null) of a property; reads the variant column ``p:<name>``."""
     v, t = f"`p:{p.name}`", p.type
     kind = F.schema_of_variant(F.col(v))
@@ -84,7 +86,7 @@ def _prop(p: Prop) -> tuple[Column, Column]:
     else:
         value, fits = _scalar(v, t)
     value = F.when(~absent, value).cast(t.spark())
-    missing = F.lit(None).cast("string") if t.nullable or p.embed else F.when(absent, F.lit(f"{p.name} is missing"))
+    missing = F.lit(None).cast("string") if t.nullable or p.embed or filled else F.when(absent, F.lit(f"{p.name} is missing"))
     wrong = F.when(~absent & ~F.coalesce(fits, F.lit(False)), F.concat(F.lit(f"{p.name}: "), F.to_json(F.col(v)), F.lit(f" doesn't fit {t}")))
     return value, F.coalesce(missing, wrong)
 
@@ -99,7 +101,8 @@ def _read(rows: DataFrame, own: NodeType | EdgeType, extra: list[Column]) -> Dat
     msgs = [F.when(F.size(unknown) > 0, F.concat(F.lit("unknown property "), unknown[0]))]
     if isinstance(own, NodeType):
         msgs.append(F.when(F.col("_data").isNull(), F.lit("data is missing")))
-    parts = [_prop(p) for p in props]
+    kinds = {p.media for p in props}
+    parts = [_prop(p, p.name in kinds) for p in props]
     out = wide.withColumns({p.name: value for p, (value, _) in zip(props, parts, strict=True)} | {"_bad": F.coalesce(*msgs, *[m for _, m in parts], F.lit(None).cast("string"))})
     bad = out.filter("_bad is not null").select("_bad").take(3)
     if bad:
@@ -154,6 +157,8 @@ def load(store: Store, *, path: str | None = None, text: str | None = None, mode
             fresh[name] = store.table(base, f"node:{name}") if mode != "overwrite" else store.spark.createDataFrame([], t.spark())
             continue
         new = _read(records.filter(F.col("type") == name), t, [])
+        if any(p.media for p in t.props.values()):
+            new = import_media(new, t, store.files.root, os.path.dirname(path) if path else None)
         new = embed_missing(new, t, provider or mock_embedding)
         if t.key:
             check_unique(new.select(t.key), NodeType(name, {t.key: t.props[t.key]}))
