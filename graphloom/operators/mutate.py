@@ -84,14 +84,14 @@ class Mutator:
         hit = self.store.table(self.base, f"node:{type_name}").filter(F.col(t.key).cast("string") == self.token(value)).select("id").take(1)
         return hit[0][0] if hit else None
 
-    def split(self, name: str, condition: Column) -> tuple[list[str], list[str]]:
-        """The table's folders without and with matching rows."""
+    def split(self, name: str, condition: Column) -> tuple[list[str], list[str], int]:
+        """The table's folders without and with matching rows, and how many rows match."""
         paths = self.base.tables.get(name, [])
         if not paths:
-            return [], []
-        hit = self.store.table(self.base, name).filter(condition).select(F.regexp_extract("_metadata.file_path", r"/(data/[^/]+/[^/]+)/[^/]+$", 1).alias("p")).distinct()
-        touched = {r.p for r in hit.collect()}
-        return [p for p in paths if p not in touched], [p for p in paths if p in touched]
+            return [], [], 0
+        folder = F.regexp_extract("_metadata.file_path", r"/(data/[^/]+/[^/]+)/[^/]+$", 1)
+        hits = dict(tuple(r) for r in self.store.table(self.base, name).filter(condition).groupBy(folder).count().collect())
+        return [p for p in paths if p not in hits], [p for p in paths if p in hits], sum(hits.values())
 
     def part(self, name: str, paths: list[str]) -> DataFrame:
         return self.store.table(Version(0, self.cat, "", {name: paths}, 0, 0, "", "", ""), name)
@@ -127,7 +127,7 @@ class Mutator:
         self.unique(t, {k: v for k, v in values.items() if k != t.key} if old else values, old[0][0] if old else None)
         i = old[0][0] if old else self.base.next_node
         new = self.row(t, {"id": i}, values)
-        keep, touched = self.split(name, c)
+        keep, touched, _ = self.split(name, c)
         paths = list(keep)
         if touched:
             paths.append(self.store.write(name, self.part(name, touched).filter(~c).unionByName(new)))
@@ -139,19 +139,18 @@ class Mutator:
     def update_node(self, m: Q.Mutation, t: NodeType) -> Affected:
         values, name = self.values(m, t), f"node:{t.name}"
         c = self.condition(m.where, t)
-        n = self.store.table(self.base, name).filter(c).count()
+        keep, touched, n = self.split(name, c)
         if not n:
             return Affected()
         for prop in t.unique:
             if prop in values and n > 1:
                 raise ConstraintError(f"{t.name}.{prop} would be the same in {n} rows")
-        if n == 1:
+        if n == 1 and set(t.unique) & set(values):
             i = self.store.table(self.base, name).filter(c).select("id").first()[0]
             self.unique(t, values, i)
         for p in t.props.values():
             if p.embed in values and p.name not in values and values[p.embed] is not None:
                 values[p.name] = self.embed(values[p.embed], p.type.dim)
-        keep, touched = self.split(name, c)
         old = self.part(name, touched)
         new = old.select("id", *[F.when(c, literal(values[p.name], p.type)).otherwise(F.col(p.name)).alias(p.name) if p.name in values else F.col(p.name) for p in t.props.values()])
         written = self.store.write(name, new)
@@ -163,17 +162,16 @@ class Mutator:
     def delete_node(self, m: Q.Mutation, t: NodeType) -> Affected:
         """The rows and all edges at them, in both directions."""
         name, c = f"node:{t.name}", self.condition(m.where, t)
-        keep, touched = self.split(name, c)
+        keep, touched, n = self.split(name, c)
         if not touched:
             return Affected()
         old = self.part(name, touched)
         gone = old.filter(c)
-        n = gone.count()
         tables = {name: [*keep, self.store.write(name, old.filter(~c))]}
         changes, edges = image("node", t.name, gone, "delete"), 0
         ids = gone.select(F.col("id").alias("_gone"))
         for e in self.cat.edges.values():
-            if t.name not in (e.source, e.target):
+            if t.name not in (e.source, e.target) or not self.base.tables.get(f"edge:{e.name}"):
                 continue
             table = self.store.table(self.base, f"edge:{e.name}")
             sides = [s for s, x in (("src", e.source), ("dst", e.target)) if x == t.name]
@@ -208,7 +206,7 @@ class Mutator:
         old = self.store.table(self.base, name).filter(c).select("id").take(1)
         i = old[0][0] if old else self.base.next_edge
         new = self.row(e, {"id": i, **ends}, self.values(m, e))
-        keep, touched = self.split(name, c)
+        keep, touched, _ = self.split(name, c)
         rest = self.part(name, touched).filter(~c).unionByName(new) if touched else new
         self.commit({name: [*keep, self.store.write(name, rest)]}, f"{m.verb} {e.name}", image("edge", e.name, new, "update" if old else "insert"), next_edge=max(self.base.next_edge, i + 1))
         return Affected(0, 1, 1 if m.verb == "put" else 0)
@@ -228,11 +226,10 @@ class Mutator:
                 else:
                     raise ConstraintError(f"{e.name}: {w.prop} can be compared with = and != only")
         name = f"edge:{e.name}"
-        keep, touched = self.split(name, c)
+        keep, touched, n = self.split(name, c)
         if not touched:
             return Affected()
         old = self.part(name, touched)
         gone = old.filter(c)
-        n = gone.count()
         self.commit({name: [*keep, self.store.write(name, old.filter(~c))]}, f"delete {e.name}", image("edge", e.name, gone, "delete"))
         return Affected(0, n, n)

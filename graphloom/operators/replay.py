@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.util import spread
+from graphloom.util import chunk_of
 
 OPS = ("insert", "update", "delete")
 #: At most so many keys are hot, which bounds the broadcast of their names.
@@ -137,13 +137,14 @@ def replay(log: DataFrame, catalog: DataFrame | None = None, *, hot_rows: int =
     ``catalog`` holds the committed transactions. A key with more than ``hot_rows`` rows (and more than a thousandth of
     the log) is replayed in up to ``ranges`` version ranges.
     """
-    least = max(hot_rows, log.count() // MOST_HOT_KEYS)
+    n, low, high = log.agg(F.count("*"), F.min("db_version"), F.max("db_version")).first()
+    least = max(hot_rows, n // MOST_HOT_KEYS)
     keys = [F.col("type_name"), without_blanks(F.col("entity_key")).alias("entity_key")]
     hot = log.select(*keys).groupBy("type_name", "entity_key").count().filter(F.col("count") > least)
     hot = F.broadcast(hot.select(F.col("type_name").alias("_t"), F.col("entity_key").alias("_k")))
     e = entries(log, catalog)
     e = e.join(hot, F.col("type_name").eqNullSafe(F.col("_t")) & (F.col("entity_key") == F.col("_k")), "left")
-    chunk = F.when(F.col("_k").isNotNull(), spread(log, "db_version", ranges).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+    chunk = F.when(F.col("_k").isNotNull(), chunk_of("db_version", low, high, ranges).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
     e = e.select("type_name", "entity_key", chunk.alias("chunk"), "db_version", "seq_in_tx", "arrival_no", "op", "payload")
     parts = (
         e.repartition("type_name", "entity_key", "chunk")

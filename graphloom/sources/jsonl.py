@@ -20,6 +20,7 @@ from graphloom.plans.schema import EdgeType, NodeType, Prop
 from graphloom.plans.types import INTEGERS, PropType
 from graphloom.sources.media import import_media
 from graphloom.sources.store import Store, Version, number
+from graphloom.util import materialize
 
 MODES = ("overwrite", "append", "merge")
 
@@ -31,11 +32,10 @@ def lines(store: Store, path: str | None = None, text: str | None = None) -> Dat
     raw = raw.withColumn("line", F.monotonically_increasing_id())
     raw = raw.filter(~F.trim("value").startswith("//") & (F.trim("value") != ""))
     v = raw.withColumn("v", F.try_parse_json("value"))
-    bad = v.filter("v is null").select("value").take(3)
-    if bad:
-        raise LoadError(f"no JSON: {bad[0].value[:120]}")
     get = lambda p: F.try_variant_get("v", p, "string")
-    return v.select("line", "v", get("$.type").alias("type"), get("$.edge").alias("edge"))
+    bad = F.when(F.col("v").isNull(), F.substring("value", 1, 120)).alias("bad")
+    # Lines are parsed once; every table is made from what is kept here.
+    return materialize(v.select("line", "v", get("$.type").alias("type"), get("$.edge").alias("edge"), bad))
 
 
 def _scalar(v: str, t: PropType) -> tuple[Column, Column]:
@@ -104,10 +104,11 @@ def _read(rows: DataFrame, own: NodeType | EdgeType, extra: list[Column]) -> Dat
     kinds = {p.media for p in props}
     parts = [_prop(p, p.name in kinds) for p in props]
     out = wide.withColumns({p.name: value for p, (value, _) in zip(props, parts, strict=True)} | {"_bad": F.coalesce(*msgs, *[m for _, m in parts], F.lit(None).cast("string"))})
+    out = materialize(out.select("line", *[c for c in out.columns if c.startswith("end:")], *own.props, "_bad"))
     bad = out.filter("_bad is not null").select("_bad").take(3)
     if bad:
         raise LoadError("; ".join(f"{own.name}: {b[0]}" for b in bad))
-    return out.select("line", *[c for c in out.columns if c.startswith("end:")], *own.props)
+    return out.drop("_bad")
 
 
 def check_unique(df: DataFrame, t: NodeType) -> None:
@@ -140,7 +141,10 @@ def load(store: Store, *, path: str | None = None, text: str | None = None, mode
     if mode not in MODES:
         raise LoadError(f"unknown mode {mode}")
     records = lines(store, path, text)
-    present = {(r.type, r.edge) for r in records.select("type", "edge").distinct().collect()}
+    kinds = records.groupBy("type", "edge").agg(F.min("bad").alias("bad")).collect()
+    if broken := [k.bad for k in kinds if k.bad is not None]:
+        raise LoadError(f"no JSON: {broken[0]}")
+    present = {(k.type, k.edge) for k in kinds}
     for t, e in present:
         if t is not None and t not in cat.nodes:
             raise LoadError(f"unknown node type {t}")
@@ -160,9 +164,9 @@ def load(store: Store, *, path: str | None = None, text: str | None = None, mode
         if any(p.media for p in t.props.values()):
             new = import_media(new, t, store.files.root, os.path.dirname(path) if path else None)
         new = embed_missing(new, t, provider or mock_embedding)
-        if t.key:
-            check_unique(new.select(t.key), NodeType(name, {t.key: t.props[t.key]}))
-        ids = number(new, next_node, "_new").drop("line")
+        check_unique(new, t)
+        ids, n = number(new, next_node, "_new")
+        ids, next_node = ids.drop("line"), next_node + n
         old = store.table(base, f"node:{name}")
         cols = ["id", *t.props]
         if mode == "merge" and t.key:
@@ -179,9 +183,8 @@ def load(store: Store, *, path: str | None = None, text: str | None = None, mode
         written = store.write(f"node:{name}", out.select(*cols))
         tables[f"node:{name}"] = [*kept, written]
         whole = store.table(Version(0, cat, "", tables, 0, 0, "", "", ""), f"node:{name}")
-        check_unique(whole, t)
-        top = store.spark.read.schema(t.spark()).parquet(store.files.url(written)).agg(F.max("id"), F.count("*")).first()
-        next_node = max(next_node, (top[0] or 0) + 1)
+        if kept or (mode == "merge" and t.key and len(t.unique) > 1):
+            check_unique(whole, t)
         fresh[name] = whole
     for name, e in cat.edges.items():
         said = [x for _, x in present if x is not None and cat.edge(x) is e]
@@ -194,7 +197,9 @@ def load(store: Store, *, path: str | None = None, text: str | None = None, mode
         parts = []
         if said:
             new = _edges(records.filter(F.col("type").isNull() & F.col("edge").isin(*said)), e, cat, fresh)
-            parts.append(number(new, next_edge))
+            new, n = number(new, next_edge)
+            parts.append(new)
+            next_edge += n
         if old is not None and not gone:
             parts.append(old.withColumn("line", F.lit(-1).cast("bigint")))
         if not parts:
@@ -207,8 +212,6 @@ def load(store: Store, *, path: str | None = None, text: str | None = None, mode
         out = both.select("id", "src", "dst", *[F.col("p")[p].alias(p) for p in e.props])
         written = store.write(f"edge:{name}", out)
         tables[f"edge:{name}"] = [written]
-        top = store.spark.read.schema(e.spark()).parquet(store.files.url(written)).agg(F.max("id")).first()
-        next_edge = max(next_edge, (top[0] or 0) + 1)
     return store.commit(base, tables, summary=f"load {mode}", next_node=next_node, next_edge=next_edge)
 
 
@@ -222,12 +225,13 @@ def _edges(rows: DataFrame, e: EdgeType, cat, nodes: dict[str, DataFrame]) -> Da
     for side, t in ends.items():
         keys = nodes[t.name].select(F.col("id").alias(f"_{side}"), F.col(t.key).cast("string").alias("_key"))
         new = new.join(keys, F.col(f"end:{side}") == F.col("_key"), "left").drop("_key")
+    new = materialize(new)
     lost = new.filter("_from is null or _to is null").select("end:from", "end:to").take(1)
     if lost:
         raise LoadError(f"{e.name}: no such endpoint in {lost[0][0]} -> {lost[0][1]}")
     last = F.max_by(F.struct(*e.props), "line").alias("p") if e.props else F.lit(1).alias("p")
     one = new.groupBy(F.col("_from").alias("src"), F.col("_to").alias("dst")).agg(F.max("line").alias("line"), last)
-    return one.select("line", "src", "dst", *[F.col("p")[p].alias(p) for p in e.props])
+    return materialize(one.select("line", "src", "dst", *[F.col("p")[p].alias(p) for p in e.props]))
 
 
 def export(store: Store, v: Version | None = None, *, embeddings: bool = True, ids: bool = False) -> DataFrame:

@@ -12,7 +12,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from graphloom.errors import ConflictError, StorageError
 from graphloom.plans.planner import Graph, Lazy
@@ -38,16 +37,22 @@ class Version:
     tx: str
 
 
-def number(df: DataFrame, start: int, out: str = "id") -> DataFrame:
-    """Rows numbered from ``start`` in their order, without a shuffle: by partition offsets of a first count."""
+def number(df: DataFrame, start: int, out: str = "id") -> tuple[DataFrame, int]:
+    """Rows numbered from ``start`` in their order, without a shuffle, and how many there are.
+
+    The counts of the partitions, one row each, come to the driver and go back as offsets. ``df`` must give the same rows in
+    the same partitions each time, as a checkpoint or a scan of files does.
+    """
     m = df.withColumn("_m", F.monotonically_increasing_id())
-    counts = m.groupBy(F.shiftright("_m", 33).alias("_p")).agg(F.count("*").alias("_c"))
-    # One row per partition.
-    before = F.coalesce(F.sum("_c").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = F.broadcast(counts.select("_p", before.alias("_b")))
-    numbered = m.withColumn("_p", F.shiftright("_m", 33)).join(offsets, "_p")
+    counts = sorted(tuple(r) for r in m.groupBy(F.shiftright("_m", 33).cast("int")).count().collect())
+    offsets, total = [], 0
+    for part, n in counts:
+        offsets.append((part, start + total))
+        total += n
+    before = df.sparkSession.createDataFrame(offsets, "_p int, _b bigint")
+    numbered = m.withColumn("_p", F.shiftright("_m", 33).cast("int")).join(F.broadcast(before), "_p")
     place = F.col("_b") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
-    return numbered.withColumn(out, (place + start).cast("bigint")).drop("_m", "_p", "_b")
+    return numbered.withColumn(out, place.cast("bigint")).drop("_m", "_p", "_b"), total
 
 
 class Store:

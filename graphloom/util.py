@@ -104,6 +104,11 @@ def _is_struct(t) -> bool:
 def spread(df: DataFrame, column: str, parts: int) -> Column:
     """A non-decreasing chunk number of a whole-number column, about ``parts`` chunks over its range."""
     lo, hi = df.agg(F.min(column), F.max(column)).first()
+    return chunk_of(column, lo, hi, parts)
+
+
+def chunk_of(column: str, lo: int | None, hi: int | None, parts: int) -> Column:
+    """The same for a range that is known."""
     lo, hi = lo or 0, hi or 0
     width = max(1, (hi - lo) // max(1, parts) + 1)
     return F.floor((F.col(column) - F.lit(lo)) / F.lit(width))
