@@ -128,6 +128,8 @@ def _search(k: int, least: float, options: dict):
         from graphloom.llm.hnsw import Hnsw, top
 
         prop, dim = key[0].as_py(), key[1].as_py()
+        # A task that runs again must build the same graph, in whatever order its rows come.
+        table = table.take(pa.array(np.argsort(table["rep"].to_numpy(), kind="stable")))
         x = _matrix(table["embedding"], dim)
         ids = table["rep"].to_numpy()
         home = table["home"].to_numpy(zero_copy_only=False)
