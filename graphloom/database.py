@@ -11,6 +11,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom import formats
 from graphloom.errors import ConflictError, GraphError, PlanError
 from graphloom.functions.vector import chunked_embedding, embed_texts, mock_embedding
 from graphloom.operators.mutate import Affected, Mutator
@@ -130,6 +131,15 @@ class GraphDB:
                     raise
                 retries -= 1
 
+    def run_arrow(self, source: str, name: str | None = None, params: dict | None = None) -> bytes:
+        """A read query's result as an Arrow IPC stream."""
+        return formats.to_ipc(self.prepare(source, name).run(params))
+
+    def run_json(self, source: str, name: str | None = None, params: dict | None = None, *, js: bool = True) -> list[dict] | dict:
+        """A result as JSON values; ``js``: whole numbers beyond 2^53 as text."""
+        out = self.run(source, name, params, js=js)
+        return asdict(out) if isinstance(out, Affected) else list(formats.records(out, js=js))
+
     def check(self, source: str) -> list[Finding]:
         """Findings of a query file: errors, L201 for nullable properties that no query sets, and mutations without parameters."""
         out, cat = [], self.store.version().catalog

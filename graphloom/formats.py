@@ -41,6 +41,17 @@ def records(df: DataFrame, *, js: bool = False):
         yield {k: plain(v, js=js) for k, v in zip(df.columns, row, strict=True)}
 
 
+def to_ipc(df: DataFrame) -> bytes:
+    """A result as an Arrow IPC stream."""
+    import pyarrow as pa
+
+    table = df.toArrow()
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as w:
+        w.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
 def _cell(v) -> str:
     return "" if v is None else v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)
 

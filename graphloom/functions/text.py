@@ -80,10 +80,10 @@ def bm25(df: DataFrame, text: Column, q: str, out: str) -> DataFrame:
     # Length and term frequencies are a projection of their own, so that a text is cut into tokens once.
     t = F.col("_tokens")
     counted = df.withColumn("_tokens", tokens(text)).withColumns({"_dl": F.size(t)} | {f"_tf{i}": F.size(t) - F.size(F.array_remove(t, w)) for i, w in enumerate(terms)})
-    stats = counted.filter(t.isNotNull()).agg(F.count("*").alias("n"), F.avg("_dl").alias("avgdl"), *[F.count(F.when(F.col(f"_tf{i}") > 0, 1)).alias(f"df{i}") for i in range(len(terms))])
+    stats = counted.filter(text.isNotNull()).agg(F.count("*").alias("n"), F.avg("_dl").alias("avgdl"), *[F.count(F.when(F.col(f"_tf{i}") > 0, 1)).alias(f"df{i}") for i in range(len(terms))])
     stats = stats.select(F.struct("*").alias("_bm25"))
     # The aggregate has one row, whatever the input.
-    scored = counted.withColumn("_null", t.isNull()).drop("_tokens").join(F.broadcast(stats))
+    scored = counted.withColumn("_null", text.isNull()).drop("_tokens").join(F.broadcast(stats))
     s = F.col("_bm25")
     norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.when(s["avgdl"] > 0, F.col("_dl").cast("double") / s["avgdl"]).otherwise(0.0))
     score = F.lit(0.0)

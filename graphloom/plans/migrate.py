@@ -44,7 +44,7 @@ def steps(old: Catalog, new: Catalog, has_rows=lambda name: True, count=lambda n
                 out.append(Step(f"Add{title}Type", f"{kind}:{name}", SAFE))
         for name in a:
             if name not in b and name not in renamed.values():
-                out.append(Step(f"Drop{title}Type", f"{kind}:{name}", CONFIRM if has_rows(f"{kind}:{name}") else SAFE))
+                out.append(Step(f"Drop{title}Type", f"{kind}:{name}", CONFIRM if has_rows(f"{kind}:{name}") else SAFE, f'if it was renamed, mark the new type @rename_from("{name}")'))
     return out
 
 
@@ -70,7 +70,7 @@ def _props(kind: str, a: NodeType | EdgeType, b: NodeType | EdgeType, has_rows,
         out += _alter(table, at, o, p, has_rows, count)
     for n in a.props:
         if n not in b.props and n not in renamed.values():
-            out.append(Step("DropProperty", f"{where}.{n}", CONFIRM if has_rows(table) else SAFE))
+            out.append(Step("DropProperty", f"{where}.{n}", CONFIRM if has_rows(table) else SAFE, f'if it was renamed, mark the new property @rename_from("{n}")'))
     return out
 
 

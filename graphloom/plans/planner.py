@@ -319,7 +319,9 @@ class Planner:
         # Only the outer columns that the inner block reads, and each combination once.
         keys = [f"{v}::id" for v in shared]
         need = [c for c in df.columns if c.split("::")[0] in shared and (c in keys or c.split("::")[1] in self.used.get(c.split("::")[0], ()) or "*" in self.used.get(c.split("::")[0], ()))]
-        outer = df.select(*[F.col(f"`{c}`") for c in need]).dropDuplicates(keys)
+        outer = df.select(*[F.col(f"`{c}`") for c in need])
+        if len(bound) > 1:  # the rows of one scan differ by their id
+            outer = outer.dropDuplicates(keys)
         saved, self.types = self.types, {**bound, **n.types}
         inner, inner_bound = self.match(n, outer, {v: bound[v] for v in shared})
         for f in n.filters:

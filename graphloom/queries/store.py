@@ -118,7 +118,30 @@ def migrated(spark, d):
     return db.run("query q() { match { $c: Customer } return { $c.custkey, $c.nation } }", "q")
 
 
-QUERIES = {f.__name__: f for f in (update_where, delete_cascade, put_merge, edge_upsert, cdc_window, cdc_stream, delete_changes, export_load, migrated)}
+def compacted(spark, d):
+    """Nations after four mutations, compaction and cleanup."""
+    db = _nations(spark, d)
+    db.compact()
+    db.cleanup()
+    return db.run(READS, "nations")
+
+
+def prepared_snapshot(spark, d):
+    """Nations as a read sees them that was prepared before the mutations."""
+    db = database(spark, d, *NATIONS)
+    p = db.prepare(READS, "nations")
+    db.run(MUTATIONS, "found", {"key": 25, "name": "ATLANTIS"})
+    return p.run()
+
+
+def load_merge(spark, d):
+    """Records merged by key into nations: one replaced, one new, one edge more."""
+    db = database(spark, d, *NATIONS)
+    db.load('{"type":"Nation","data":{"nationkey":3,"name":"MERGED"}}\n{"type":"Nation","data":{"nationkey":77,"name":"FRESH","regionkey":0}}\n{"edge":"InRegion","from":77,"to":0}', "merge")
+    return db.run("query q() { match { $n: Nation  $n inRegion $r } return { $n.nationkey, $n.name, $n.regionkey, $r.name as region } }", "q")
+
+
+QUERIES = {f.__name__: f for f in (update_where, delete_cascade, put_merge, edge_upsert, cdc_window, cdc_stream, delete_changes, export_load, migrated, compacted, prepared_snapshot, load_merge)}
 
 _CHANGES = """SELECT 2::BIGINT AS graph_version, 'insert' AS change_kind, 'node' AS entity_kind, 'Nation' AS type_name, 1::BIGINT AS n
 UNION ALL SELECT 3, 'update', 'node', 'Nation', 1 UNION ALL SELECT 4, 'insert', 'edge', 'InRegion', 1 UNION ALL SELECT 5, 'delete', 'edge', 'InRegion', 1"""
@@ -135,4 +158,7 @@ UNION ALL SELECT 1, 'insert', 'edge', 'InRegion', count(*) FROM nation""",
 UNION ALL SELECT 2, 'delete', 'edge', 'Placed', count(*) FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_acctbal < 1000""",
     "export_load": "SELECT n_name AS nation, r_name AS region FROM nation JOIN region ON r_regionkey = n_regionkey",
     "migrated": "SELECT c_custkey AS custkey, c_nationkey::BIGINT AS nation FROM customer",
+    "prepared_snapshot": "SELECT n_nationkey AS nationkey, n_name AS name, n_regionkey AS regionkey FROM nation",
+    "load_merge": "SELECT n_nationkey AS nationkey, CASE WHEN n_nationkey = 3 THEN 'MERGED' ELSE n_name END AS name, CASE WHEN n_nationkey <> 3 THEN n_regionkey END AS regionkey, r_name AS region FROM nation JOIN region ON r_regionkey = n_regionkey UNION ALL SELECT 77, 'FRESH', 0, r_name FROM region WHERE r_regionkey = 0",
 }
+ORACLE["compacted"] = ORACLE["put_merge"]
