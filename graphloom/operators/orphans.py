@@ -120,7 +120,7 @@ def find_orphans(edges: DataFrame, edge_types: DataFrame, nodes: DataFrame, *, k
     names = open_bits.select(F.col("ptype").alias("_p"), F.col("key").alias("_k"), F.col("period").alias("_m"))
     cand = refs.join(names, (F.col("ptype") == F.col("_p")) & (F.col("key") == F.col("_k")) & F.col("period").eqNullSafe(F.col("_m")), "left_semi")
     parents = n.join(open_bits.select("ptype", "key"), ["ptype", "key"], "left_semi").withColumn("until", F.coalesce("removed_at", F.lit(NEVER).cast(n.schema["removed_at"].dataType)))
-    seen = running_max(cand, parents, ["ptype", "key"], "loaded_at", "until", F.to_date("loaded_at"), right_first=True, first_out="first_loaded")
+    seen = running_max(cand, parents, ["ptype", "key"], "loaded_at", "until", F.unix_date(F.to_date("loaded_at")), right_first=True, first_out="first_loaded")
     sound = F.coalesce((F.col("run") == F.lit(NEVER).cast(n.schema["removed_at"].dataType)) | (F.col("run") >= F.col("removed_at")), F.lit(False))
     reason = F.when(F.col("first_loaded").isNull(), "missing").when(F.col("run").isNull(), "late").otherwise("deleted")
     return seen.filter(~sound).select("edge_name", F.col("period").alias("period_month"), "edge_id", "side", reason.alias("reason")).distinct()

@@ -66,7 +66,7 @@ def running_max(
     """Each row of ``left`` with the largest ``value`` of the ``right`` rows of its key placed before it by ``at``.
 
     ``right_first``: a right row at the same place counts. ``first_out`` adds the smallest ``at`` of the key's right
-    rows. ``chunk`` is a non-decreasing expression of ``at``. A key's rows are never gathered in one task: maxima are
+    rows. ``chunk`` is a non-decreasing whole number made from ``at``; keys are not null. A key's rows are never gathered in one task: maxima are
     taken per (key, chunk) with map-side partials, prefixed over the chunks, and only then the rows of one
     (key, chunk) are walked in order. Rows of ``left`` with null ``at`` get null; right rows with null ``at`` don't count.
     """
@@ -75,22 +75,20 @@ def running_max(
     vtype = right.schema[value].dataType
     l = left.select(*keys, F.col(at), F.struct(*[F.col(c) for c in cols]).alias("_row"), F.lit(rank_left).alias("_side"), F.lit(None).cast(vtype).alias("_v"))
     r = right.filter(F.col(at).isNotNull()).select(*keys, F.col(at), F.lit(None).cast(l.schema["_row"].dataType).alias("_row"), F.lit(rank_right).alias("_side"), F.col(value).alias("_v"))
-    u = l.unionByName(r).withColumn("_chunk", chunk)
+    # Chunks are never null, so that the join below is a plain one and finds the rows where the walk has put them.
+    u = l.unionByName(r).withColumn("_chunk", F.coalesce(chunk.cast("bigint"), F.lit(-(1 << 62))))
     is_right = F.col("_side") == rank_right
     parts = u.groupBy(*keys, "_chunk").agg(F.max("_v").alias("_cv"), F.min(F.when(is_right, F.col(at))).alias("_cmin"))
     by_key = W.partitionBy(*keys)
     prefix = parts.select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-        F.col("_chunk").alias("_kc"),
-        F.max("_cv").over(by_key.orderBy(F.col("_chunk").asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)).alias("_before"),
+        *keys,
+        "_chunk",
+        F.max("_cv").over(by_key.orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)).alias("_before"),
         F.min("_cmin").over(by_key).alias("_first"),
     )
-    cond = F.col("_chunk").eqNullSafe(F.col("_kc"))
-    for i, k in enumerate(keys):
-        cond = F.col(k).eqNullSafe(F.col(f"_k{i}")) & cond
     walk = W.partitionBy(*keys, "_chunk").orderBy(at, "_side").rowsBetween(W.unboundedPreceding, W.currentRow)
     seen = u.withColumn("_here", F.max("_v").over(walk)).filter(~is_right).drop("_v")
-    joined = seen.join(prefix, cond, "left")
+    joined = seen.join(prefix, [*keys, "_chunk"], "left")
     best = F.greatest("_before", "_here") if not _is_struct(vtype) else F.when(F.col("_before").isNull() | (F.col("_here") > F.col("_before")), F.col("_here")).otherwise(F.col("_before"))
     names = [F.col(k) for k in keys] + [F.col(at)] + [F.col("_row")[c].alias(c) for c in cols]
     extra = [F.when(F.col(at).isNotNull(), best).alias(out)] + ([F.col("_first").alias(first_out)] if first_out else [])
