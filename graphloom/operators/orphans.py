@@ -91,7 +91,8 @@ def references(edges: DataFrame, edge_types: DataFrame) -> DataFrame:
 def _dictionary(keys: DataFrame, ranges: int) -> DataFrame:
     krange = F.pmod(F.xxhash64("ptype", "key"), F.lit(ranges)).cast("int")
     place = F.row_number().over(W.partitionBy("krange").orderBy("ptype", "key")) - 1
-    d = keys.distinct().withColumn("krange", krange).withColumn("place", place)
+    # One shuffle, by range, serves both the distinct keys and their numbering.
+    d = keys.withColumn("krange", krange).repartition("krange").dropDuplicates(["krange", "ptype", "key"]).withColumn("place", place)
     return d.select("ptype", "key", "krange", F.floor(F.col("place") / BITS).cast("int").alias("slice"), (F.col("place") % BITS).cast("bigint").alias("bit"))
 
 
