@@ -14,6 +14,7 @@ from __future__ import annotations
 import numpy as np
 
 RATIO = 16
+_ID, _SCALE = (1 << 31) - 1, 1 << 29
 
 
 class Hnsw:
@@ -29,7 +30,7 @@ class Hnsw:
         top = max(min(n, 256), n // RATIO)
         self.top = self.order[:top]
         self.top_x = self.x[self.top]
-        self.seen = np.zeros((batch, n + 1), bool)
+        self.seen = np.zeros(batch * (n + 1), bool)
         for a in range(0, top, batch):
             self._link(self.top[a : a + batch], *self._scan(self.x[self.top[a : a + batch]], degree, self.top[a : a + batch]))
         for a in range(top, n, batch):
@@ -56,41 +57,44 @@ class Hnsw:
         return np.concatenate(ids), np.concatenate(sims)
 
     def _beam(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A beam is one array of numbers: similarity, id and whether it is still open, in this order of bits; -1 is empty.
+
+        So one partition of plain numbers merges a beam with what was found.
+        """
         b, w = len(q), self.beam
-        ids, sims = np.full((b, w), -1, np.int32), np.full((b, w), -2, np.float32)
+        beam = np.full((b, w), -1, np.int64)
         at, s = self._scan(q, self.entries)
-        ids[:, : at.shape[1]], sims[:, : at.shape[1]] = at, s
-        open_ = sims > -2
-        rows = np.arange(b)
-        seen = self.seen[:b]
+        beam[:, : at.shape[1]] = np.where(s > -2, _entry(s, at), -1)
+        # Flat marks of what each query has seen; a row begins with one for the empty link, -1.
+        width, live = len(self.x) + 1, np.arange(b)
+        seen = self.seen[: b * width]
         seen[:] = False
-        seen[rows[:, None], at] = True
-        seen[:, -1] = True
-        live = rows
+        seen[::width] = True
+        seen[(live * width + 1)[:, None] + at] = True
         for _ in range(self.steps):
-            best = np.where(open_, sims, -3).argmax(1)
-            go = open_[live, best[live]]
-            live = live[go]
+            now = beam[live]
+            open_ = np.where(now & 1, now, -1)
+            pick = open_.argmax(1)
+            best = open_[np.arange(len(live)), pick]
+            go = best >= 0
+            live, pick, best = live[go], pick[go], best[go]
             if not len(live):
                 break
-            pick = best[live]
-            open_[live, pick] = False
-            nb = self.near[ids[live, pick]]
-            fresh = ~seen[live[:, None], nb]
-            fresh &= nb >= 0
-            r, c = np.nonzero(fresh)
-            who, what = live[r], nb[r, c]
-            seen[who, what] = True
-            new = np.full(nb.shape, -2, np.float32)
-            new[r, c] = np.einsum("ij,ij->i", self.x[what], q[who])
-            all_s = np.concatenate((sims[live], new), 1)
-            all_i = np.concatenate((ids[live], nb), 1)
-            all_o = np.concatenate((open_[live], fresh), 1)
-            keep = np.argpartition(all_s, all_s.shape[1] - w, axis=1)[:, all_s.shape[1] - w :]
-            sims[live] = np.take_along_axis(all_s, keep, 1)
-            ids[live] = np.take_along_axis(all_i, keep, 1)
-            open_[live] = np.take_along_axis(all_o, keep, 1) & (sims[live] > -2)
-        return np.where(sims > -2, ids, -1), sims
+            beam[live, pick] = best - 1
+            nb = self.near.take((best >> 1) & _ID, axis=0)
+            marks = ((live * width + 1)[:, None] + nb).ravel()
+            new = np.flatnonzero(~seen.take(marks))
+            what = nb.ravel().take(new)
+            seen[marks.take(new)] = True
+            both = np.full((len(live), w + nb.shape[1]), -1, np.int64)
+            both[:, :w] = beam[live]
+            r, c = np.divmod(new, nb.shape[1])
+            sims = np.einsum("ij,ij->i", self.x.take(what, axis=0), q.take(live.take(r), axis=0))
+            both[r, w + c] = _entry(sims, what)
+            both.partition(both.shape[1] - w, axis=1)
+            beam[live] = both[:, both.shape[1] - w :]
+        full = beam >= 0
+        return np.where(full, (beam >> 1) & _ID, -1).astype(np.int32), np.where(full, (beam >> 32) / _SCALE - 1, -2).astype(np.float32)
 
     def _insert(self, new: np.ndarray) -> None:
         q = self.x[new]
@@ -142,6 +146,11 @@ class Hnsw:
         return top(self.near, self.sim, k)
 
 
+def _entry(sims: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """An open entry of a beam."""
+    return (np.clip((sims.astype(np.float64) + 1) * _SCALE, 0, 1 << 31).astype(np.int64) << 32) | (ids.astype(np.int64) << 1) | 1
+
+
 def top(ids: np.ndarray, sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     k = min(k, ids.shape[1])
     at = np.argpartition(sims, sims.shape[1] - k, axis=1)[:, sims.shape[1] - k :]
