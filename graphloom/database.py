@@ -55,7 +55,7 @@ class GraphDB:
     """A graph at a path; every method works on the newest committed version unless it says otherwise."""
 
     def __init__(self, spark: SparkSession, path: str, *, provider: Callable = mock_embedding):
-        if spark.conf.get("spark.sql.session.timeZone") not in ("UTC", "Etc/UTC", "Z", "+00:00"):
+        if spark.conf.get("spark.sql.session.timeZone") not in ("UTC", "Etc/UTC", "GMT", "Etc/GMT", "Zulu", "Z", "+00:00", "GMT+0"):
             raise GraphError("set spark.sql.session.timeZone to UTC")
         self.spark, self.path, self.provider = spark, path, provider
         self.store = Store(spark, path)
