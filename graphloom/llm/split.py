@@ -10,8 +10,7 @@ Sizes are tokens of a public tokenizer. Cuts lie between the tokenizer's words,
 the sum of its words' tokens; only a piece that cuts a word is encoded again to be sure.
 
 Defined results: null and empty texts are one piece of 0 tokens; a text at the limit or under it is one piece, as it
-stands; the pieces without their overlaps, concatenated, are the text; further columns pass through; a text with no
-more bytes than the limit has no more tokens either and isn't encoded.
+stands; the pieces without their overlaps, concatenated, are the text; further columns pass through.
 """
 
 from __future__ import annotations
@@ -156,7 +155,7 @@ def _tail(ws: list[str], s: int, b: int, encoder: bpe.Bpe) -> int:
 
 
 def cut(docs: DataFrame, text: str = "text", *, limit: int = LIMIT, overlap: int = OVERLAP, vocab: str = bpe.DEFAULT_VOCAB) -> DataFrame:
-    """``docs`` with ``cuts``: the pieces of ``text`` as own_start, start, end, tokens (tokens null for texts too short to be encoded, end -1 for whole texts)."""
+    """``docs`` with ``cuts``: the pieces of ``text`` as own_start, start, end, tokens (end -1 for whole texts)."""
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be under the limit")
     shared = share(docs.sparkSession, vocab)
@@ -168,19 +167,18 @@ def cut(docs: DataFrame, text: str = "text", *, limit: int = LIMIT, overlap: int
             ends = np.concatenate(([0], np.cumsum(chunk.counts)))[chunk.offsets]
             for a, b, n in zip(chunk.offsets[:-1].tolist(), chunk.offsets[1:].tolist(), np.diff(ends).tolist(), strict=True):
                 if n <= limit:
-                    out.append([{"own_start": 0, "start": 0, "end": -1, "tokens": n if b > a else None}])
+                    out.append([{"own_start": 0, "start": 0, "end": -1, "tokens": n}])
                 else:
                     out.append([dict(zip(("own_start", "start", "end", "tokens"), p, strict=True)) for p in pieces(chunk.words[a:b], chunk.counts[a:b], encoder, limit, overlap)])
         return pa.array(out, pa.list_(pa.struct([(c, pa.int32()) for c in ("own_start", "start", "end", "tokens")])))
 
     docs = over_cores(docs)
-    long = F.when(F.octet_length(text) > limit, F.col(text))
     # Not deterministic only in name: the optimizer would run it again for a filter that it infers from explode.
-    return docs.withColumn("cuts", find.asNondeterministic()(long))
+    return docs.withColumn("cuts", find.asNondeterministic()(F.col(text)))
 
 
 def split(docs: DataFrame, text: str = "text", *, limit: int = LIMIT, overlap: int = OVERLAP, vocab: str = bpe.DEFAULT_VOCAB) -> DataFrame:
-    """One row per piece: the columns of ``docs`` but the text, piece_no, n_pieces, own_start, tokens (null: under the limit) and piece."""
+    """One row per piece: the columns of ``docs`` but the text, piece_no, n_pieces, own_start, start, tokens and piece."""
     c = cut(docs, text, limit=limit, overlap=overlap, vocab=vocab)
     rest = [x for x in docs.columns if x != text]
     p = c.select(*rest, F.col(text).alias("_text"), F.size("cuts").alias("n_pieces"), F.posexplode("cuts").alias("piece_no", "_cut"))
