@@ -41,7 +41,7 @@ def over_cores(df: DataFrame, file_bytes: int = 128 << 20) -> DataFrame:
     files would keep most cores idle. At most ``file_bytes`` per core are shuffled for that; larger tables never are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    files = len(df.inputFiles())
+    files = len(df._jdf.inputFiles())  # the length alone leaves the JVM
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if 0 < max(files, size // file_bytes) < cores else df
 
