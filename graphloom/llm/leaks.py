@@ -1,19 +1,26 @@
 """Evaluation texts leaking into training text.
 
-Method: spaced-seed hashing. Fixed masks ignore selected word positions; the seeds of the items and of the corpus are
-joined by hash, and the text around each hit is verified with substitutions, additions and omissions allowed.
+Method: spaced-seed hashing. A fixed mask ignores one word position in the middle; the seeds of the items and of the
+corpus are joined by hash, and the words around each hit are verified with substitutions, additions and omissions allowed.
 
 A text is read as its words: variant forms of characters folded (compatibility, case, accents, look-alikes), invisible characters, markup, entities,
 escapes and line prefixes removed, words that a line end has cut put together. Words that stand in several items (runs of
-``shared`` words found in two or more of them) are no evidence and end a passage.
+``SHARED`` words found in two or more of them) are no evidence and end a passage.
 
-Found is a document with at least ``words`` successive words of an item, of which at most one in eight is altered, added
-or left out. Two such changes in 16 words leave five words in a row, so the contiguous mask of five misses nothing; the
-spaced masks are there for seeds that a changed word would break. Extension keeps the furthest item word reached on each
-diagonal for 0 to 4 changes, to both sides of the seed at once for all hits of a batch.
+Found is a document with at least ``words`` successive words of an item, of which at most one in ``one_in`` is altered,
+added or left out. Nothing is missed:
 
-The items are a stated query set: they go to the executors in blocks of at most ``BLOCK_WORDS`` words (a bound of some
-100 MB), each of which meets all rows of the corpus; there is no shuffle of the corpus, and each row is handled alone.
+* a passage of 2 * words or more can be halved, and one half has no more changes for its length; so each holds a smallest
+  passage of words <= n < 2 * words with at most n // one_in changes. ``reach`` is more than that on either side of a hit.
+* its unchanged words lie in one more run than there are changes, so one run has at least ``shortest_run`` words, 5 for 16
+  words with one change in 8. The mask (11011) is as long: each such run holds a hit, and so do shorter runs that one
+  altered word parts.
+* hits that follow each other on one diagonal are one unbroken run of words; the first stands for them.
+
+Nothing is held on the driver but a Bloom filter of the items' seeds (at most 16 MB, so its broadcast is bounded whatever
+the number of items; a fuller filter only lets more of the corpus through to the join). The corpus is read in one pass that
+puts out the stretches of words around what passes the filter, in pieces of at most ``PIECE`` words that overlap by
+``reach``; seeds, pieces and passages meet in joins, where AQE splits what is skewed.
 
 Defined results: null and empty texts and items with fewer than ``words`` words of their own give nothing; repeated rows
 give one result; further columns are ignored; very long texts are handled whole.
@@ -24,21 +31,24 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.util import over_cores
+from graphloom.util import materialize, over_cores
 
-MASKS = ("11111", "1101101", "11001011")
-WORDS, ONE_IN, MOST_CHANGES, REACH = 16, 8, 4, 40
+WORDS, ONE_IN = 16, 8
 SHARED = 8
-BLOCK_WORDS = 2_000_000
+#: Words of a piece.
+PIECE = 512
+MOST_BITS = 1 << 27
 CHUNK_CHARS = 4_000_000
-GAP = MOST_CHANGES + 1
+CACHE_WORDS = 400_000
+#: Compared words (document by item) that are verified at once.
+CELLS = 4_000_000
 
 #: Letters of other alphabets that look like Latin ones, pair by pair.
 LOOKALIKES = (
@@ -84,88 +94,199 @@ def text_words(text: str | None) -> list[str]:
     return _WORD.findall(_QUOTE.sub("", s).casefold())
 
 
-class Index:
-    """A block of items: their words as numbers in one array with gaps, and the seeds of each mask."""
-
-    def __init__(self, items: list[tuple], shared: set[int], words: int):
-        self.vocab: dict[str, int] = {}
-        self.words = words
-        flat, owner, left = [], [], []
-        for item, ws in items:
-            ids = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in ws]
-            free = np.ones(len(ids), bool)
-            for i, g in enumerate(grams(ws)):
-                if g in shared:
-                    free[i : i + SHARED] = False
-            edges = np.flatnonzero(np.diff(np.concatenate(([0], free.astype(np.int8), [0]))))
-            for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-                if b - a >= words:
-                    flat += [-1, *ids[a:b]]
-                    owner += [item] * (b - a + 1)
-                    left += [0, *range(b - a, 0, -1)]
-        pad = REACH + GAP + 1
-        self.ids = np.array([-1] * pad + flat + [-1] * pad, np.int32)
-        owners = sorted(set(owner))
-        number = {o: i for i, o in enumerate(owners)}
-        self.owners = owners
-        self.owner = np.array([0] * pad + [number[o] for o in owner] + [0] * pad, np.int32)
-        #: Words of the passage from here on, and before here.
-        self.after = np.array([0] * pad + left + [0] * pad, np.int32)
-        before = np.zeros_like(self.after)
-        for i in range(1, len(before)):
-            before[i] = before[i - 1] + 1 if self.ids[i] > 0 and self.ids[i - 1] > 0 else 0
-        self.before = before
-        self.seeds = []
-        for mask in MASKS:
-            h, at = seed_hashes(self.ids, mask)
-            by = np.argsort(h, kind="stable")
-            bits = np.zeros(1 << 22, bool)
-            bits[h >> np.uint64(42)] = True
-            self.seeds.append((mask, h[by], at[by], bits))
-
-
-def grams(ws: list[str]) -> list[int]:
-    """A hash of each run of SHARED words that does not depend on the process."""
-    if len(ws) < SHARED:
-        return []
-    import xxhash
+class Shape:
+    """What follows from the passage's length and rate of changes."""
+
+    def __init__(self, words: int, one_in: int):
+        self.words, self.one_in = words, one_in
+        #: Changes of a smallest passage, and how far it can reach from a hit in it.
+        self.changes = (2 * words - 1) // one_in
+        self.reach = 2 * words + self.changes + 5
+        run = self.shortest_run()
+        if run < 3:
+            raise ValueError("so many changes leave no run of three words")
+        self.mask = "1" * (run // 2) + "0" + "1" * (run - run // 2 - 1)
+        #: Zeros between texts: more than a seed or the changes can cross.
+        self.gap = len(self.mask) + self.changes + 1
+
+    def shortest_run(self) -> int:
+        """The longest run of unchanged words that every smallest passage has."""
+        return min(-(-(n - n // self.one_in) // (n // self.one_in + 1)) for n in range(self.words, 2 * self.words))
+
+
+class _Words(dict):
+    """Words to 64-bit numbers that don't depend on the process, never 0 or -1."""
+
+    def __missing__(self, word: str) -> int:
+        h = xxhash.xxh64_intdigest(word) - (1 << 63)
+        self[word] = h = h if h not in (0, -1) else 1
+        return h
+
+
+_known = _Words()
+
 
-    return [xxhash.xxh64_intdigest(" ".join(ws[i : i + SHARED])) - (1 << 63) for i in range(len(ws) - SHARED + 1)]
+def word_numbers(text: str | None) -> np.ndarray:
+    ws = text_words(text)
+    if len(_known) > CACHE_WORDS:
+        _known.clear()
+    return np.fromiter(map(_known.__getitem__, ws), np.int64, len(ws))
 
 
-def seed_hashes(ids: np.ndarray, mask: str, bits: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and place of every seed of ``mask`` whose words are all known (above 0)."""
+def seed_hashes(words: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and place of every seed of ``mask`` in which no word is a gap (0 or -1)."""
     offsets = [i for i, c in enumerate(mask) if c == "1"]
-    n = len(ids) - len(mask) + 1
+    n = len(words) - len(mask) + 1
     if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    ok = np.ones(n, bool)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    w = words.view(np.uint64)
+    is_word = (words != 0) & (words != -1)
+    ok, h = np.ones(n, bool), np.zeros(n, np.uint64)
     for o in offsets:
-        ok &= ids[o : o + n] > 0
-    at = np.flatnonzero(ok)
-    h = np.zeros(len(at), np.uint64)
-    for o in offsets:
-        h = (h ^ ids[at + o].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        ok &= is_word[o : o + n]
+        h ^= w[o : o + n]
+        h *= np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
-    if bits is not None:
-        ok = bits[h >> np.uint64(42)]
-        h, at = h[ok], at[ok]
-    return h, at
+    at = np.flatnonzero(ok)
+    return h[at].view(np.int64), at
+
+
+def pieces_of(low: int, high: int, reach: int) -> list[tuple[int, int]]:
+    """[low, high) in pieces of at most PIECE words, each beginning ``reach`` words before the end of the one before."""
+    out = []
+    while True:
+        out.append((low, min(low + PIECE, high)))
+        if low + PIECE >= high:
+            return out
+        low += PIECE - reach
 
 
-def _reach(items: np.ndarray, docs: np.ndarray, p: np.ndarray, a: np.ndarray, room: np.ndarray, step: int) -> np.ndarray:
-    """[changes, hit]: item words passed from (p, a) on in direction ``step``, at most ``room``, with so many changes."""
-    e, j = MOST_CHANGES, np.arange(REACH)
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64), pa.int64()))
+
+
+def passages(items: DataFrame, item_id: str, text: str, shape: Shape) -> DataFrame:
+    """pid, item_id, item_words: what is left of the items without the words that several share, in pieces."""
+    t = items.filter(F.col(item_id).isNotNull() & F.col(text).isNotNull()).select(F.col(item_id).cast("bigint").alias("item_id"), F.col(text).alias("text"))
+    t = t.withColumn("tkey", F.xxhash64("text"))
+
+    def runs(batches):
+        for b in batches:
+            ids, keys, pos, gram = [], [], [], []
+            for i, t, k in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                w = word_numbers(t)
+                g, _ = seed_hashes(w, "1" * SHARED)
+                ids.append(np.full(len(g), i, np.int64))
+                keys.append(np.full(len(g), k, np.int64))
+                pos.append(np.arange(len(g), dtype=np.int32))
+                gram.append(g)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, keys, pos, gram)], names=["item_id", "tkey", "pos", "gram"])
+
+    all_runs = t.mapInArrow(runs, "item_id bigint, tkey bigint, pos int, gram bigint")
+    shared = all_runs.groupBy("gram").agg(F.min("item_id").alias("a"), F.max("item_id").alias("b")).filter("a < b").select("gram")
+    # A list holds places of one text: no more than it has words.
+    taken = all_runs.join(shared, "gram", "left_semi").groupBy("item_id", "tkey").agg(F.collect_set("pos").alias("taken"))
+
+    def free(batches):
+        for b in batches:
+            ids, out = [], []
+            for i, t, taken in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                w = word_numbers(t)
+                own = np.ones(len(w), bool)
+                for p in taken or ():
+                    own[p : p + SHARED] = False
+                edges = np.flatnonzero(np.diff(np.concatenate(([0], own.astype(np.int8), [0])))).tolist()
+                for low, high in zip(edges[::2], edges[1::2], strict=True):
+                    if high - low >= shape.words:
+                        for x, y in pieces_of(low, high, shape.reach):
+                            ids.append(i)
+                            out.append(w[x:y])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _lists(out)], names=["item_id", "item_words"])
+
+    own = t.join(taken, ["item_id", "tkey"], "left").select("item_id", "text", "taken").mapInArrow(free, "item_id bigint, item_words array<bigint>")
+    # Read from the checkpoint, a row keeps its number.
+    return materialize(own.distinct()).withColumn("pid", F.monotonically_increasing_id())
+
+
+def seeds_of(own: DataFrame, shape: Shape) -> DataFrame:
+    """hash, pid of every seed."""
+
+    def emit(batches):
+        for b in batches:
+            pid, words = b.column(0).to_numpy(), b.column(1)
+            for i in range(b.num_rows):
+                h = np.unique(seed_hashes(words[i].values.to_numpy(), shape.mask)[0])
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), pid[i], np.int64))], names=["hash", "pid"])
+
+    return own.select("pid", "item_words").mapInArrow(emit, "hash bigint, pid bigint")
+
+
+def bloom(seeds: DataFrame, bits: int) -> np.ndarray:
+    """A filter of ``bits`` bits, two for each seed, built in Spark; ``bits`` bounds what comes here."""
+    shift = 64 - (bits.bit_length() - 1)
+    both = F.array(F.shiftrightunsigned("hash", shift), F.shiftrightunsigned("hash", 10).bitwiseAND(F.lit(bits - 1)))
+    b = seeds.select(F.explode(both).alias("bit")).groupBy(F.shiftright("bit", 15).alias("at")).agg(F.bitmap_construct_agg(F.col("bit") % 32_768).alias("bits"))
+    out = np.zeros(bits // 8, np.uint8)
+    for r in b.collect():
+        out[r["at"] * 4096 : (r["at"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def _passes(flags: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The places of the hashes that the filter knows."""
+    bits = len(flags) * 8
+    u = h.view(np.uint64)
+    x = u >> np.uint64(64 - (bits.bit_length() - 1))
+    at = np.flatnonzero((flags[x >> np.uint64(3)] >> (x & np.uint64(7)).astype(np.uint8)) & 1)
+    y = (u[at] >> np.uint64(10)) & np.uint64(bits - 1)
+    return at[((flags[y >> np.uint64(3)] >> (y & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)]
+
+
+def stretches(texts: list[str | None], flags: np.ndarray, shape: Shape) -> tuple[list[int], list[np.ndarray], list[np.ndarray]]:
+    """(numbers of the texts, words, hashes): the words around all seeds that the filter knows, in pieces."""
+    gap, flat, starts, at = np.zeros(shape.gap, np.int64), [], [], 0
+    for t in texts:
+        w = word_numbers(t)
+        starts.append(at)
+        flat += (w, gap)
+        at += len(w) + shape.gap
+    words = np.concatenate(flat) if flat else np.zeros(0, np.int64)
+    h, place = seed_hashes(words, shape.mask)
+    hit = _passes(flags, h)
+    h, place = h[hit], place[hit]
+    docs, own, hashes = [], [], []
+    if not len(place):
+        return docs, own, hashes
+    starts = np.array(starts)
+    doc = np.searchsorted(starts, place, "right") - 1
+    ends = np.append(starts[1:], at)[doc] - shape.gap
+    low, high = np.maximum(starts[doc], place - shape.reach), np.minimum(ends, place + len(shape.mask) + shape.reach)
+    first = np.flatnonzero(np.concatenate(([True], low[1:] > high[:-1])))
+    last = np.append(first[1:], len(low)) - 1
+    for f, a, b in zip(first.tolist(), low[first].tolist(), high[last].tolist(), strict=True):
+        for x, y in pieces_of(a, b, shape.reach):
+            i, j = np.searchsorted(place, (x, y - len(shape.mask) + 1))
+            if i < j:
+                docs.append(int(doc[f]))
+                own.append(words[x:y])
+                hashes.append(np.unique(h[i:j]))
+    return docs, own, hashes
+
+
+def _reach(items: np.ndarray, docs: np.ndarray, p: np.ndarray, a: np.ndarray, room: np.ndarray, step: int, e: int, reach: int) -> np.ndarray:
+    """[changes, hit]: item words passed from (p, a) on in direction ``step``, at most ``room``, with so many changes (up to e)."""
+    j = np.arange(reach)
     item = items[p[:, None] + step * j]
     runs = []
     for d in range(-e, e + 1):
         same = item == docs[np.clip(a[:, None] + step * (j + d), 0, len(docs) - 1)]
-        run = np.zeros((len(p), REACH + 1), np.int8)
-        for i in range(REACH - 1, -1, -1):
+        run = np.zeros((len(p), reach + 1), np.int8)
+        for i in range(reach - 1, -1, -1):
             run[:, i] = np.where(same[:, i], run[:, i + 1] + 1, 0)
         runs.append(run)
-    room = np.minimum(room, REACH).astype(np.int32)
+    room = np.minimum(room, reach).astype(np.int32)
     rows = np.arange(len(p))
     far = np.full((2 * e + 1, len(p)), -1, np.int32)
     far[e] = np.minimum(runs[e][:, 0], room)
@@ -183,97 +304,97 @@ def _reach(items: np.ndarray, docs: np.ndarray, p: np.ndarray, a: np.ndarray, ro
     return np.stack(out)
 
 
-def verify(index: Index, docs: np.ndarray, p: np.ndarray, a: np.ndarray) -> np.ndarray:
-    """Which of the hits (item place p, document place a) lie in a passage that counts."""
-    ok = np.zeros(len(p), bool)
+def verify(pairs: list[tuple[np.ndarray, np.ndarray]], shape: Shape) -> np.ndarray:
+    """Which of the pairs (words of a document, words of an item) hold a passage that counts."""
+    e, reach = shape.changes, shape.reach
+    pad = reach + shape.gap
+    doc_at, item_at, docs, items = [], [], [np.zeros(pad, np.int64)], [np.full(pad, -1, np.int64)]
+    d = i = pad
+    for doc, item in pairs:
+        doc_at.append(d)
+        item_at.append(i)
+        docs += (doc, np.zeros(shape.gap, np.int64))
+        items += (item, np.full(shape.gap, -1, np.int64))
+        d, i = d + len(doc) + shape.gap, i + len(item) + shape.gap
+    docs = np.concatenate([*docs, np.zeros(pad, np.int64)])
+    items = np.concatenate([*items, np.full(pad, -1, np.int64)])
+    doc_at, item_at = np.array(doc_at), np.array(item_at)
+    item_end = item_at + [len(x) for _, x in pairs]
+    dh, da = seed_hashes(docs, shape.mask)
+    ih, ip = seed_hashes(items, shape.mask)
+    # A seed meets the seeds of its own pair alone.
+    mix = np.uint64(0xD6E8FEB86659FD93)
+    row_of = lambda at, starts: (np.searchsorted(starts, at, "right") - 1).astype(np.uint64)
+    dk = dh.view(np.uint64) ^ (row_of(da, doc_at) * mix)
+    ik = ih.view(np.uint64) ^ (row_of(ip, item_at) * mix)
+    by = np.argsort(ik, kind="stable")
+    ik, ip = ik[by], ip[by]
+    lo, hi = np.searchsorted(ik, dk, "left"), np.searchsorted(ik, dk, "right")
+    n = hi - lo
+    p = ip[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+    a = np.repeat(da, n)
+    out = np.zeros(len(pairs), bool)
+    if not len(p):
+        return out
+    by = np.lexsort((a, a - p))
+    p, a = p[by], a[by]
+    keep = np.concatenate(([True], (np.diff(a) != 1) | (np.diff(p) != 1)))
+    p, a = p[keep], a[keep]
+    row = np.searchsorted(item_at, p, "right") - 1
     for b in range(0, len(p), 20_000):
-        pp, aa = p[b : b + 20_000], a[b : b + 20_000]
-        right = _reach(index.ids, docs, pp, aa, index.after[pp], 1)
-        left = _reach(index.ids, docs, pp - 1, aa - 1, index.before[pp], -1)
+        pp, aa, rr = p[b : b + 20_000], a[b : b + 20_000], row[b : b + 20_000]
+        right = _reach(items, docs, pp, aa, item_end[rr] - pp, 1, e, reach)
+        left = _reach(items, docs, pp - 1, aa - 1, pp - item_at[rr], -1, e, reach)
         good = np.zeros(len(pp), bool)
-        for changes in range(MOST_CHANGES + 1):
+        for changes in range(e + 1):
             most = np.max([left[x] + right[changes - x] for x in range(changes + 1)], axis=0)
-            good |= most >= max(index.words, ONE_IN * changes)
-        ok[b : b + 20_000] = good
-    return ok
-
-
-def search(index: Index, texts: list[str | None]) -> list[tuple[int, int]]:
-    """(number of the text, number of the item) of what leaked."""
-    get = index.vocab.get
-    gap = [0] * GAP
-    flat, starts = [*([0] * (REACH + GAP))], []
-    for t in texts:
-        starts.append(len(flat))
-        flat += map(get, text_words(t), repeat(0))
-        flat += gap
-    docs = np.array(flat + [0] * (REACH + GAP), np.int32)
-    ps, aa = [], []
-    for mask, hashes, places, bits in index.seeds:
-        h, at = seed_hashes(docs, mask, bits)
-        lo, hi = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
-        n = hi - lo
-        ps.append(places[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)])
-        aa.append(np.repeat(at, n))
-    p, a = np.concatenate(ps), np.concatenate(aa)
-    if not len(p):
-        return []
-    # Hits close together on one diagonal belong to one passage: one of each eight words is enough, as reach is 40.
-    _, first = np.unique(np.stack((a - p, a >> 3)), axis=1, return_index=True)
-    p, a = p[first], a[first]
-    good = verify(index, docs, p, a)
-    doc = np.searchsorted(np.array(starts), a[good], "right") - 1
-    found = np.unique(np.stack((doc, index.owner[p[good]])), axis=1)
-    return list(zip(found[0].tolist(), found[1].tolist(), strict=True))
+            good |= most >= max(shape.words, shape.one_in * changes)
+        out[rr[good]] = True
+    return out
 
 
-def shared_runs(items: DataFrame, item_id: str, text: str) -> set[int]:
-    """Hashes of the runs of words that stand in two or more items."""
-
-    def emit(batches):
-        for b in batches:
-            pairs = {(g, i) for i, t in zip(b[item_id].to_pylist(), b[text].to_pylist(), strict=True) for g in grams(text_words(t))}
-            yield pa.RecordBatch.from_pydict({"gram": pa.array([g for g, _ in pairs], pa.int64()), "item": pa.array([i for _, i in pairs], pa.int64())})
-
-    g = items.select(item_id, text).mapInArrow(emit, "gram bigint, item bigint")
-    return {r[0] for r in g.groupBy("gram").agg(F.min("item").alias("a"), F.max("item").alias("b")).filter("a < b").select("gram").toLocalIterator()}
-
-
-def find_leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", words: int = WORDS) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", words: int = WORDS, one_in: int = ONE_IN) -> DataFrame:
     """(doc_id, item_id): the documents that hold a passage of an item."""
-    items = items.filter(F.col(item_id).isNotNull() & F.col(text).isNotNull()).select(F.col(item_id).cast("bigint").alias(item_id), text).distinct()
-    shared = shared_runs(items, item_id, text)
-    blocks, block, n = [], [], 0
-    for r in items.toLocalIterator():
-        ws = text_words(r[text])
-        if block and n + len(ws) > BLOCK_WORDS:
-            blocks.append(Index(block, shared, words))
-            block, n = [], 0
-        block.append((r[item_id], ws))
-        n += len(ws)
-    blocks.append(Index(block, shared, words))
-    spark = docs.sparkSession
-    corpus = over_cores(docs.select(doc_id, text)).filter(F.length(text) >= 2 * words)
+    shape = Shape(words, one_in)
+    own = passages(items, item_id, text, shape)
+    seeds = seeds_of(own, shape)
+    n = own.agg(F.sum(F.size("item_words"))).first()[0] or 0
+    bits = min(MOST_BITS, max(1 << 20, 1 << (64 * n).bit_length()))
+    flags = docs.sparkSession.sparkContext.broadcast(bloom(seeds, bits))
     kind = docs.schema[doc_id].dataType.simpleString()
-    out = None
-    for index in blocks:
-        shared_index = spark.sparkContext.broadcast(index)
-
-        def look(batches, shared_index=shared_index):
-            for b in batches:
-                ids, texts = b.column(0), b.column(1).to_pylist()
-                at = 0
-                while at < len(texts):
-                    end, chars = at, 0
-                    while end < len(texts) and (end == at or chars + len(texts[end]) <= CHUNK_CHARS):
-                        chars += len(texts[end])
-                        end += 1
-                    found = search(shared_index.value, texts[at:end])
-                    if found:
-                        take = pa.array([at + d for d, _ in found], pa.int64())
-                        yield pa.RecordBatch.from_arrays([ids.take(take), pa.array([shared_index.value.owners[i] for _, i in found], pa.int64())], names=[doc_id, item_id])
-                    at = end
-
-        one = corpus.mapInArrow(look, f"{doc_id} {kind}, {item_id} bigint")
-        out = one if out is None else out.unionByName(one)
-    return out.distinct()
+
+    def look(batches):
+        for b in batches:
+            ids, texts = b.column(0), b.column(1).to_pylist()
+            at = 0
+            while at < len(texts):
+                end, chars = at, 0
+                while end < len(texts) and (end == at or chars + len(texts[end] or "") <= CHUNK_CHARS):
+                    chars += len(texts[end] or "")
+                    end += 1
+                doc, found, hashes = stretches(texts[at:end], flags.value, shape)
+                if doc:
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.array(doc) + at)), _lists(found), _lists(hashes)], names=["doc_id", "words", "hashes"])
+                at = end
+
+    corpus = over_cores(docs.select(F.col(doc_id), F.col(text)))
+    near = materialize(corpus.mapInArrow(look, f"doc_id {kind}, words array<bigint>, hashes array<bigint>")).withColumn("seg", F.monotonically_increasing_id())
+    pairs = near.select("seg", F.explode("hashes").alias("hash")).join(seeds, "hash").select("seg", "pid").distinct()
+    both = pairs.join(near.select("seg", "doc_id", "words"), "seg").join(own, "pid").select("doc_id", "item_id", "words", "item_words")
+
+    def check(batches):
+        for b in batches:
+            left, right = b.column("words"), b.column("item_words")
+            good, at = np.zeros(b.num_rows, bool), 0
+            while at < b.num_rows:
+                end, cells, pairs = at, 0, []
+                while end < b.num_rows and (end == at or cells < CELLS):
+                    pairs.append((left[end].values.to_numpy(), right[end].values.to_numpy()))
+                    cells += len(pairs[-1][0]) * len(pairs[-1][1])
+                    end += 1
+                good[at:end] = verify(pairs, shape)
+                at = end
+            yield b.select(["doc_id", "item_id"]).filter(pa.array(good))
+
+    found = both.mapInArrow(check, f"doc_id {kind}, item_id bigint").distinct()
+    return found.select(F.col("doc_id").alias(doc_id), F.col("item_id").alias(item_id))

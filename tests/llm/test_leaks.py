@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from graphloom.llm import leaks
@@ -102,15 +103,77 @@ def test_nothing(spark, items):
     assert leaks.find_leaks(spark.createDataFrame([], "doc_id bigint, text string"), spark.createDataFrame([(1, " ".join(items[0]))], "item_id bigint, text string")).collect() == []
 
 
-def test_blocks_give_the_same(spark, items, monkeypatch):
-    monkeypatch.setattr(leaks, "BLOCK_WORDS", 90)
-    docs = [" ".join(w[-30:]) for w in items.values()]
-    assert found(spark, docs, items) == {(i, i) for i in items}
+def test_small_pieces_give_the_same(spark, items, monkeypatch):
+    monkeypatch.setattr(leaks, "PIECE", 64)
+    monkeypatch.setattr(leaks, "CELLS", 500)
+    docs = [" ".join(w[-30:] + ["x"] * 3 + w[:20]) for w in items.values()]
+    long = {i: w * (3 if i == 1 else 1) for i, w in items.items()}
+    assert found(spark, docs, long) == {(i, i) for i in items}
+
+
+def test_short_words_and_short_texts(spark):
+    rng = random.Random(8)
+    own = [rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(16)]
+    docs = [" ".join(own), " ".join(own[:7] + own[8:]), "a", "ab cd"]
+    assert len(docs[0]) == 31 and found(spark, docs, {7: own}) == {(0, 7), (1, 7)}
+
+
+def test_passage_beside_shared_words(spark):
+    """Hits on one diagonal in two passages that shared words part: each passage counts for itself."""
+    rng = random.Random(9)
+    shared, a, b, c = passage(rng, 8), passage(rng, 16), passage(rng, 18), passage(rng, 20)
+    items = {1: a + shared + b, 2: c + shared + passage(rng, 17)}
+    docs = [" ".join(a[-6:] + shared + b), " ".join(a + shared + b[:5]), " ".join(a[-6:] + shared + b[:6])]
+    assert found(spark, docs, items) == {(0, 1), (1, 1)}
+
+
+def test_the_mask_finds_what_unbroken_seeds_miss(spark):
+    """Every fifth word altered: no five words in a row are left, as one change in five allows."""
+    rng = random.Random(10)
+    own = passage(rng, 24)
+    doc = [w if i % 5 else "altered" for i, w in enumerate(own)]
+    flags = np.full(1 << 10, 255, np.uint8)
+    shape = leaks.Shape(16, 8)
+    assert shape.mask == "11011" and leaks.Shape(16, 5).mask == "1101"
+    assert leaks.stretches([" ".join(doc)], flags, shape)[0]
+    know = set(leaks.seed_hashes(leaks.word_numbers(" ".join(own)), "11111")[0].tolist())
+    assert not know & set(leaks.seed_hashes(leaks.word_numbers(" ".join(doc)), "11111")[0].tolist())
+    know = set(leaks.seed_hashes(leaks.word_numbers(" ".join(own)), "11011")[0].tolist())
+    assert know & set(leaks.seed_hashes(leaks.word_numbers(" ".join(doc)), "11011")[0].tolist())
+    d = spark.createDataFrame([(0, " ".join(doc))], "doc_id bigint, text string")
+    e = spark.createDataFrame([(1, " ".join(own))], "item_id bigint, text string")
+    assert leaks.find_leaks(d, e, one_in=5).collect() and not leaks.find_leaks(d, e).collect()
+
+
+def brute(doc, item, words=16, one_in=8):
+    """Whether some successive words of the item stand in the document with so few changes."""
+    for i in range(len(item) - words + 1):
+        row = [0] * (len(doc) + 1)
+        for n in range(1, len(item) - i + 1):
+            new = [n]
+            for j in range(1, len(doc) + 1):
+                new.append(min(row[j - 1] + (item[i + n - 1] != doc[j - 1]), row[j] + 1, new[j - 1] + 1))
+            row = new
+            if n >= words and min(row) * one_in <= n:
+                return True
+    return False
+
+
+def test_equal_to_brute_force(spark):
+    rng = random.Random(11)
+    items = {i: [rng.choice(VOCAB[:60]) for _ in range(rng.choice([16, 20, 34]))] for i in range(6)}
+    docs = []
+    for _ in range(150):
+        own = items[rng.randrange(6)]
+        n = rng.randrange(12, len(own) + 1)
+        at = rng.randrange(len(own) - n + 1)
+        docs.append([rng.choice(VOCAB) for _ in range(6)] + change(rng, own[at : at + n], rng.randrange(0, 6)) + [rng.choice(VOCAB) for _ in range(6)])
+    want = {(i, k) for i, d in enumerate(docs) for k, item in items.items() if brute(d, item)}
+    assert 20 < len(want) < 140
+    assert found(spark, [" ".join(d) for d in docs], items) == want
 
 
 def test_reach_against_brute_force():
-    import numpy as np
-
     rng = random.Random(6)
     for _ in range(200):
         item = [rng.randrange(1, 5) for _ in range(20)]
@@ -119,12 +182,12 @@ def test_reach_against_brute_force():
             at = rng.randrange(1, len(doc))
             doc[at : at + rng.randrange(2)] = [rng.randrange(1, 5)] * rng.randrange(2)
         pad = [0] * 60
-        out = leaks._reach(np.array([-1] * 60 + item + [-1] * 60), np.array(pad + doc + pad), np.array([60]), np.array([60]), np.array([20]), 1)
+        out = leaks._reach(np.array([-1] * 60 + item + [-1] * 60), np.array(pad + doc + pad), np.array([60]), np.array([60]), np.array([20]), 1, 4, 40)
         # Rows of the edit distance table: the longest item prefix within e changes of some document prefix.
         table = np.zeros((21, len(doc) + 1), int)
         table[:, 0], table[0] = range(21), range(len(doc) + 1)
         for i in range(1, 21):
             for j in range(1, len(doc) + 1):
                 table[i, j] = min(table[i - 1, j - 1] + (item[i - 1] != doc[j - 1]), table[i - 1, j] + 1, table[i, j - 1] + 1)
-        for e in range(leaks.MOST_CHANGES + 1):
+        for e in range(5):
             assert out[e][0] == max(i for i in range(21) if table[i].min() <= e)
