@@ -1,77 +1,98 @@
 """A hierarchical navigable small-world graph as flat neighbour arrays, built and searched in batches with numpy.
 
-Level 0 holds every vector: ``near[n, degree]`` (int32, -1 where unused) and the similarities beside it, kept by
-similarity. Level 1 holds every ``RATIO``-th vector; as a shard is bounded, so is level 1, and it is scanned in one
-matrix product instead of being descended: its best entries start the beam on level 0. All queries of a batch take each
-step together: the best unexpanded node of each beam is expanded, its unseen neighbours are scored and merged in.
-
-Insertion is batched: a batch searches the graph of what was inserted before, its own members are compared by a matrix
-product, and links are made both ways; a full list keeps its most similar ones.
+A level holds every ``RATIO``-th vector of the one below, down to a top of at most ``FLAT`` vectors, which are scanned in one
+matrix product. Each level is a graph of its own: ``near[n, degree]`` (int32, -1 where unused) and the similarities beside
+it, kept by similarity. A query descends from the top: the best of a level start the beam on the next. All queries of a
+batch take each step together: the best unexpanded node of each beam is expanded, its unseen neighbours are scored and
+merged in.
+
+Insertion is batched: the vectors of the upper levels take their links from there, then each batch searches the graph of
+what was inserted before, its own members are compared by a matrix product, and links are made both ways; a full list keeps
+its most similar ones.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-RATIO = 16
+RATIO, FLAT = 16, 1024
 _ID, _SCALE = (1 << 31) - 1, 1 << 29
 
 
 class Hnsw:
-    def __init__(self, x: np.ndarray, *, degree: int = 24, beam: int = 32, steps: int = 14, entries: int = 8, batch: int = 1024):
+    def __init__(self, x: np.ndarray, *, degree: int = 32, beam: int = 64, steps: int = 48, entries: int = 16, batch: int = 1024, levels: int = 0):
         """x: unit vectors, float32, one per row (in any order)."""
         self.x = np.ascontiguousarray(x, np.float32)
         n = len(x)
         self.degree, self.beam, self.steps, self.entries, self.batch = degree, beam, steps, entries, batch
+        self.upper: Hnsw | None = None
         self.near = np.full((n, degree), -1, np.int32)
         self.sim = np.full((n, degree), -2, np.float32)
+        if n <= FLAT:
+            for a in range(0, n, batch):
+                own = np.arange(a, min(a + batch, n))
+                i, s = self._scan(self.x[own], degree, own)
+                self.near[own, : i.shape[1]], self.sim[own, : i.shape[1]] = np.where(s > -2, i, -1), s
+            return
         # A fixed shuffle: levels must not follow the order in which the vectors came.
-        self.order = np.random.default_rng(0).permutation(n).astype(np.int32)
-        top = max(min(n, 256), n // RATIO)
-        self.top = self.order[:top]
-        self.top_x = self.x[self.top]
+        order = np.random.default_rng(levels).permutation(n).astype(np.int32)
+        self.top = order[: n // RATIO]
+        self.upper = Hnsw(self.x[self.top], degree=degree, beam=entries, steps=entries, entries=entries, batch=batch, levels=levels + 1)
+        self.near[self.top] = np.where(self.upper.near >= 0, self.top[self.upper.near], -1)
+        self.sim[self.top] = self.upper.sim
         self.seen = np.zeros(batch * (n + 1), bool)
-        for a in range(0, top, batch):
-            self._link(self.top[a : a + batch], *self._scan(self.x[self.top[a : a + batch]], degree, self.top[a : a + batch]))
-        for a in range(top, n, batch):
-            self._insert(self.order[a : a + batch])
+        for a in range(len(self.top), n, batch):
+            self._insert(order[a : a + batch])
 
     def _scan(self, q: np.ndarray, k: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """The k best of level 1 by a matrix product; ``own`` are the queries' ids, which don't count."""
-        s = q @ self.top_x.T
+        """The k best by a matrix product over all; ``own`` are the queries' ids, which don't count."""
+        s = q @ self.x.T
         if own is not None:
-            s[own[:, None] == self.top[None, :]] = -2
+            s[np.arange(len(q)), own] = -2
         k = min(k, s.shape[1])
         at = np.argpartition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k :] if k < s.shape[1] else np.tile(np.arange(k), (len(q), 1))
-        sims = np.take_along_axis(s, at, 1)
-        ids = np.where(sims > -2, self.top[at], -1).astype(np.int32)
-        return ids, sims
+        return at.astype(np.int32), np.take_along_axis(s, at, 1)
+
+    def search(self, q: np.ndarray, *, own: np.ndarray | None = None, beam: int | None = None, steps: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and similarities of each query's beam, unordered; -1 and -2 where it isn't full.
 
-    def search(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and similarities of each query's beam, unordered; -1 and -2 where it isn't full."""
+        ``own``: the queries' ids, where they are vectors of the graph; their search begins at their own links.
+        """
         ids, sims = [], []
         for a in range(0, len(q), self.batch):
-            i, s = self._beam(q[a : a + self.batch])
+            start = None if own is None or self.upper is None else (self.near[own[a : a + self.batch]], self.sim[own[a : a + self.batch]])
+            i, s = self._beam(q[a : a + self.batch], start, beam or self.beam, self.steps if steps is None else steps)
             ids.append(i)
             sims.append(s)
         return np.concatenate(ids), np.concatenate(sims)
 
-    def _beam(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _enter(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the beam on this level begins: what the level above gives."""
+        i, s = self.upper.search(q)
+        i, s = top(i, s, self.entries)
+        return np.where(i >= 0, self.top[i], -1).astype(np.int32), s
+
+    def _beam(self, q: np.ndarray, start: tuple[np.ndarray, np.ndarray] | None, w: int, steps: int) -> tuple[np.ndarray, np.ndarray]:
         """A beam is one array of numbers: similarity, id and whether it is still open, in this order of bits; -1 is empty.
 
         So one partition of plain numbers merges a beam with what was found.
         """
-        b, w = len(q), self.beam
+        b = len(q)
+        if self.upper is None:
+            return self._scan(q, w)
+        at, s = start or self._enter(q)
         beam = np.full((b, w), -1, np.int64)
-        at, s = self._scan(q, self.entries)
-        beam[:, : at.shape[1]] = np.where(s > -2, _entry(s, at), -1)
+        first = np.where(s > -2, _entry(s, at), -1)
+        if first.shape[1] > w:
+            first = np.partition(first, first.shape[1] - w, axis=1)[:, first.shape[1] - w :]
+        beam[:, : first.shape[1]] = first
         # Flat marks of what each query has seen; a row begins with one for the empty link, -1.
         width, live = len(self.x) + 1, np.arange(b)
         seen = self.seen[: b * width]
         seen[:] = False
         seen[::width] = True
-        seen[(live * width + 1)[:, None] + at] = True
-        for _ in range(self.steps):
+        seen[((live * width + 1)[:, None] + at).ravel()] = True
+        for _ in range(steps):
             now = beam[live]
             open_ = np.where(now & 1, now, -1)
             pick = open_.argmax(1)
@@ -98,7 +119,7 @@ class Hnsw:
 
     def _insert(self, new: np.ndarray) -> None:
         q = self.x[new]
-        ids, sims = self._beam(q)
+        ids, sims = self._beam(q, None, self.beam, self.steps)
         s = q @ q.T
         np.fill_diagonal(s, -2)
         k = min(self.degree, len(new))

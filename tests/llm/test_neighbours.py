@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from graphloom.llm import neighbours
-from graphloom.llm.hnsw import Hnsw
+from graphloom.llm.hnsw import Hnsw, top
 
 SCHEMA = "vec_id bigint, owner_slug string, target_prop string, dim int, embedding array<float>, shard int"
 
@@ -24,7 +24,9 @@ def exact(x, k):
 def test_graph_recall(n):
     x = clustered(max(n, 8), 16)[:n].astype(np.float32)
     h = Hnsw(x, degree=32, beam=64, steps=48, entries=16, batch=256)
-    ids, sims = h.best(5)
+    assert (h.upper is None) == (n <= 1024)
+    ids, sims = top(*h.search(x, own=np.arange(n), steps=8), 8)
+    ids, sims = zip(*([[j for j, _ in p][:5], [v for _, v in p][:5]] for p in ([(j, v) for j, v in zip(a, b, strict=True) if j not in (i, -1)] for i, (a, b) in enumerate(zip(ids, sims, strict=True)))), strict=True)
     want, s = exact(x, 5)
     hits = 0
     for i in range(n):
@@ -41,11 +43,11 @@ def rows(spark, data):
     return spark.createDataFrame([(i, "o", p, d, None if e is None else [None if v is None else float(v) for v in e], 1) for i, p, d, e in data], SCHEMA)
 
 
-@pytest.mark.parametrize("shard_rows", [100_000, 200])
-def test_recall_and_merge(spark, shard_rows):
+@pytest.mark.parametrize(("shard_bytes", "probes"), [(1 << 20, 3), (9600, 3), (2000, 8)])
+def test_recall_and_merge(spark, shard_bytes, probes):
     x = clustered(900, 12, 3)
     df = rows(spark, [(i, "p", 12, v) for i, v in enumerate(x)])
-    got = neighbours.most_similar(df, k=5, shard_rows=shard_rows).collect()
+    got = neighbours.most_similar(df, k=5, shard_bytes=shard_bytes, probes=probes).collect()
     x32 = x.astype(np.float32).astype(np.float64)
     x32 /= np.linalg.norm(x32, axis=1, keepdims=True)
     want, s = exact(x32, 5)
