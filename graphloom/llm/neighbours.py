@@ -34,13 +34,13 @@ SHARD_BYTES, MOST_BYTES = 4 << 20, 128 << 20
 MOST_PARTITIONS = 20_000
 PROBES = 2
 #: Bounds of what is fitted on the driver, per group: pivots, and sampled rows for each.
-CELLS_A_SHARD, MOST_CELLS, SAMPLE_PER_CELL = 64, 8192, 16
+CELLS_A_SHARD, MOST_CELLS, SAMPLE_PER_CELL = 64, 8192, 12
 GROUP = ["target_prop", "dim"]
 KEY = [*GROUP, "h1", "h2"]
 FOUND = "target_prop string, dim int, rep bigint, other bigint, cosine double"
 #: The graph's parameters, and the steps of the searches of the finished graph: from a vector's own links, and from the top.
-GRAPH = {"degree": 32, "beam": 64, "steps": 48, "entries": 16}
-OWN_STEPS, GUEST_STEPS = 16, 32
+GRAPH = {"degree": 32, "beam": 64, "steps": 40, "entries": 16}
+OWN_STEPS, GUEST_STEPS = 8, 24
 
 
 def valid(vectors: DataFrame) -> DataFrame:
@@ -114,7 +114,7 @@ class Route:
         return np.concatenate(rows), np.concatenate(part).astype(np.int64), np.concatenate(home)
 
 
-def _routes(vectors: DataFrame, reps: DataFrame, shard_bytes: int) -> tuple[dict, int]:
+def _routes(vectors: DataFrame, shard_bytes: int) -> tuple[dict, int]:
     """The routes of the groups beyond a shard, and the number of their parts."""
     # Only groups beyond a shard come here: no more than the table has shards.
     n = F.col("n") * F.col("dim") * 4
@@ -125,12 +125,14 @@ def _routes(vectors: DataFrame, reps: DataFrame, shard_bytes: int) -> tuple[dict
         shards = min(MOST_CELLS, -(-r["n"] // rows))
         # A share of the hash's range picks the sample; the limit only bounds what an unlucky hash could bring.
         share = min(1.0, SAMPLE_PER_CELL * min(MOST_CELLS, shards * CELLS_A_SHARD) / r["n"])
-        mine = reps.filter((F.col("target_prop") == r["target_prop"]) & (F.col("dim") == r["dim"]))
-        picked = mine.filter(F.pmod(F.xxhash64(F.lit(7), "h1"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("embedding").limit(2 * SAMPLE_PER_CELL * MOST_CELLS).toArrow()
-        if picked.num_rows < 2:
+        mine = vectors.filter((F.col("target_prop") == r["target_prop"]) & (F.col("dim") == r["dim"]) & (F.pmod(F.xxhash64(F.lit(7), "vec_id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1))
+        picked = valid(mine).select("embedding").limit(2 * SAMPLE_PER_CELL * MOST_CELLS).toArrow()
+        # Of copies one is enough; in order, so that the same rows give the same pivots.
+        x = np.unique(_raw(picked["embedding"], r["dim"]), axis=0)
+        if len(x) < 2:
             continue
         most_rows = 2 * max(rows, min(r["n"] // shards, MOST_BYTES // (4 * r["dim"])))
-        route = out[(r["target_prop"], r["dim"])] = Route(_unit(_raw(picked["embedding"], r["dim"])), r["n"], shards, most_rows, parts)
+        route = out[(r["target_prop"], r["dim"])] = Route(_unit(x), r["n"], shards, most_rows, parts)
         parts += route.parts
     return out, parts
 
@@ -241,7 +243,7 @@ def most_similar(vectors: DataFrame, *, k: int = K, least: float = -1.1, shard_b
     options = GRAPH | options
     v = valid(vectors)
     reps = v.groupBy(*KEY).agg(F.min("vec_id").alias("rep"), F.first("embedding").alias("embedding"))
-    routes, shards = _routes(vectors, reps, shard_bytes)
+    routes, shards = _routes(vectors, shard_bytes)
     routed = _route(reps, routes, shards, probes)
     parts = min(MOST_PARTITIONS, shards + vectors.sparkSession.sparkContext.defaultParallelism)
     # In order of ids: a task that runs again must build the same graph, in whatever order its rows come.
