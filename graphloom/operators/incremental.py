@@ -1,44 +1,57 @@
 """Processing only new or changed records.
 
-Method: a high watermark on the monotonic commit sequence. A run fixes its upper limit when it starts, takes every
-change that no successful run has taken, and commits its output together with the new coverage in one atomic rename: a
-run that dies before leaves nothing that a reader sees, a run repeated after takes nothing twice.
+Method: a high watermark on the monotonic commit sequence. A run fixes its upper limits when it starts (the greatest
+version, and the latest ingested_at, that are there), takes every change up to them that no successful run has taken, and
+commits its output together with the new watermark in one atomic create: a run that dies before leaves nothing that a
+reader sees, a run repeated after takes nothing twice, and a run that loses against another one begins again.
 
-Runs may have left holes and late rows behind, so a bare maximum isn't enough. The successful runs of a table are cut
-into disjoint version segments, each with the latest read_at of the runs over it; a change was taken if it was visible
-by the read_at of its segment. The segment is found by a running maximum in version order, without a range join.
+The first run of a job can follow an earlier reader whose runs left holes and late rows behind. Its successful runs are cut
+into disjoint version segments, each with the latest read_at of the runs over it; a change was taken if it was visible by
+the read_at of its segment. The segment is found by a running maximum in version order, without a range join.
+
+From then on the watermark (version, ingested_at) tells alone what was taken: everything that lies below both. A run reads
+only rows above one of them (both filters reach the scan). Those below the version watermark are late: a late one is new
+unless an older delivery of it was taken, which is looked up among the old rows of the late rows' versions, and only if
+there are late rows.
 
 Defined results
 ---------------
 * a change is (table_id, entity_id, graph_version); of its deliveries the first (by ingested_at) gives the other
-  columns. Rows with null table_id, entity_id or graph_version are no changes. Without ingested_at a change was never
-  seen by a run, so it is not taken.
+  columns. Rows with null table_id, entity_id or graph_version are no changes.
+* a change without ingested_at was never seen by an earlier reader's run, so it is not taken; a job takes it once and keeps
+  its key in a ledger, as no watermark covers it.
 * a status counts without case and padding; runs with a null bound or read_at, or an empty window, take nothing.
-* no runs: every change is pending; no changes: no rows.
+* no runs: every change is pending; no changes: no rows. A run that finds nothing new commits nothing.
+* a job's transform may drop rows and columns: what was taken is told by the watermark, not by the output.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
-import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.util import running_max, spread
+from graphloom.errors import ConflictError
+from graphloom.sources.files import Files
+from graphloom.util import ROWS_A_CHUNK, cuts, running_max
 
 CHANGE = ("table_id", "entity_id", "graph_version")
+NO_RUNS = "table_id string, from_version bigint, to_version bigint, read_at timestamp, status string"
 
 
 def changes(visible: DataFrame) -> DataFrame:
     """One row per change with its first ingested_at, previous_graph_version and tx_id (of that delivery)."""
     ok = visible.filter(" and ".join(f"{c} is not null" for c in CHANGE))
-    first = F.min(F.struct(F.col("ingested_at").isNull().alias("unseen"), "ingested_at", "previous_graph_version", "tx_id"))
-    return ok.groupBy(*CHANGE).agg(first.alias("f")).select(*CHANGE, "f.previous_graph_version", "f.tx_id", F.col("f.ingested_at").alias("first_ingested_at"))
+    # Each column is an aggregate of its own, so that one which isn't used isn't carried.
+    first = F.struct(F.col("ingested_at").isNull(), "ingested_at", "previous_graph_version", "tx_id")
+    return ok.groupBy(*CHANGE).agg(
+        F.min_by("previous_graph_version", first).alias("previous_graph_version"), F.min_by("tx_id", first).alias("tx_id"), F.min("ingested_at").alias("first_ingested_at")
+    )
 
 
 def _sweep(runs: pd.DataFrame) -> pd.DataFrame:
@@ -65,65 +78,115 @@ def coverage(runs: DataFrame, succeeded: str = "succeeded") -> DataFrame:
     return ok.groupBy("table_id").applyInPandas(_sweep, "table_id string, graph_version bigint, read_us bigint")
 
 
-def _micros(df: DataFrame, column: str):
+def _micros(df: DataFrame, column: str) -> Column:
     return F.unix_micros(F.col(column).cast("timestamp"))
 
 
-def pending(visible: DataFrame, runs: DataFrame, *, upper: int | None = None, ranges: int = 64) -> DataFrame:
+def pending(visible: DataFrame, runs: DataFrame, *, upper: int | None = None, rows_a_chunk: int = ROWS_A_CHUNK) -> DataFrame:
     """The changes up to ``upper`` (by default all that are there) that no successful run has taken, each once."""
     if upper is not None:
         visible = visible.filter(F.col("graph_version") <= upper)
     seen = coverage(runs).select("table_id", "graph_version", F.struct("graph_version", "read_us").alias("segment"))
-    found = running_max(changes(visible), seen, ["table_id"], "graph_version", "segment", spread(visible, "graph_version", ranges), right_first=False)
-    taken = F.coalesce(F.unix_micros(F.col("first_ingested_at").cast("timestamp")) <= F.col("run.read_us"), F.lit(False))
+    places = visible.select("table_id", "graph_version").filter("table_id is not null and graph_version is not null")
+    version = F.col("graph_version")
+    found = running_max(changes(visible), seen, ["table_id"], "graph_version", "segment", version, cuts(places, version, rows_a_chunk=rows_a_chunk), right_first=False, points=places)
+    taken = F.coalesce(_micros(found, "first_ingested_at") <= F.col("run.read_us"), F.lit(False))
     return found.filter(~taken).drop("run")
 
 
 class IncrementalJob:
-    """A job whose every run handles the pending changes exactly once.
+    """A job whose every run handles what is pending exactly once.
 
-    ``state_dir`` holds ``data/<run>`` folders and ``commits/<n>.json``; a commit names its output, its upper limit and
-    the run's window, and is put in place by one exclusive create, so output and watermark appear together. Readers
-    follow the commits; output of runs that died isn't named by any and is never seen.
+    ``state`` is a folder on any file system that Spark reaches: ``data/<run>`` with the outputs and ``commits/<n>.json``,
+    each with its run, the watermark after it and the number of rows. Readers follow the commits; the output of a run that
+    died isn't named by any and is never seen. ``runs``: the runs of an earlier reader, which the first run follows.
     """
 
-    def __init__(self, spark: SparkSession, state_dir: str):
-        self.spark, self.dir = spark, state_dir
-        for d in ("data", "commits", "tmp"):
-            os.makedirs(f"{state_dir}/{d}", exist_ok=True)
+    def __init__(self, spark: SparkSession, state: str, runs: DataFrame | None = None):
+        self.spark, self.files, self.runs = spark, Files(spark, state), runs
+
+    def numbers(self) -> list[int]:
+        return [int(n[:-5]) for n in self.files.list("commits") if n.endswith(".json")]
+
+    def commit(self, n: int) -> dict:
+        return json.loads(self.files.read(f"commits/{n:08d}.json"))
 
-    def commits(self) -> Iterator[dict]:
-        for name in sorted(os.listdir(f"{self.dir}/commits")):
-            with open(f"{self.dir}/commits/{name}") as f:
-                yield json.load(f)
+    def last(self) -> dict | None:
+        numbers = self.numbers()
+        return self.commit(numbers[-1]) if numbers else None
 
     def watermark(self) -> int | None:
-        return max((c["upper"] for c in self.commits()), default=None)
+        last = self.last()
+        return last and last["upper"]
 
-    def output(self) -> DataFrame | None:
-        paths = [f"{self.dir}/data/{c['run']}" for c in self.commits()]
+    def output(self, after: int = -1) -> DataFrame | None:
+        """What the commits above number ``after`` have written."""
+        paths = [self.files.url(f"data/{self.commit(n)['run']}") for n in self.numbers() if n > after]
         return self.spark.read.parquet(*paths) if paths else None
 
-    def run(self, visible: DataFrame, transform=lambda df: df, before_commit=lambda: None) -> int:
-        """Handle what is pending up to the greatest version now; the number of rows written."""
-        committed = list(self.commits())
-        upper = visible.agg(F.max("graph_version")).first()[0]
-        if upper is None:
+    def run(self, visible: DataFrame, transform: Callable[[DataFrame], DataFrame] = lambda df: df, before_commit: Callable[[], None] = lambda: None, *, attempts: int = 5) -> int:
+        """Handle what is pending up to the limits of now; the number of rows written."""
+        for attempt in range(attempts):
+            try:
+                return self._run(visible, transform, before_commit)
+            except ConflictError:
+                if attempt == attempts - 1:
+                    raise
+        return 0
+
+    def _run(self, visible: DataFrame, transform, before_commit) -> int:
+        base = self.last()
+        number = base["number"] + 1 if base else 0
+        # Without the filters below nothing of an old row is read but its version and time, from row groups that may hold new ones.
+        new = visible if base is None else visible.filter(self._above(visible, base))
+        below = F.when(F.col("graph_version") <= (base["upper"] if base else None), F.col("graph_version"))
+        limit = new.agg(F.max("graph_version").alias("upper"), F.max(_micros(new, "ingested_at")).alias("read"), F.min(below).alias("low"), F.max(below).alias("high")).first()
+        if limit.upper is None:
+            return 0
+        upper, read = limit.upper, limit.read
+        new = new.filter((F.col("graph_version") <= upper) & (F.col("ingested_at").isNull() | self._by(new, read)))
+        if base is None:
+            todo = pending(new, self.runs if self.runs is not None else self.spark.createDataFrame([], NO_RUNS))
+        else:
+            upper, read = max(upper, base["upper"]), max(x for x in (read, base["read"], -(1 << 62)) if x is not None)
+            todo = changes(new)
+            if limit.low is not None:
+                todo = todo.join(self._taken(visible, base, limit.low, limit.high), list(CHANGE), "left_anti")
+        run = f"{number:08d}-{uuid.uuid4().hex[:8]}"
+        transform(todo).write.parquet(self.files.url(f"data/{run}"))
+        rows = self.spark.read.parquet(self.files.url(f"data/{run}")).count()
+        ledgers = list(base["ledgers"]) if base else []
+        if new.filter("ingested_at is null").limit(1).count():
+            unseen = todo.filter("first_ingested_at is null").select(*CHANGE)
+            unseen.write.parquet(self.files.url(f"ledger/{run}"))
+            if self.spark.read.parquet(self.files.url(f"ledger/{run}")).limit(1).count():
+                ledgers.append(run)
+        if base and not rows and (upper, read, ledgers) == (base["upper"], base["read"], base["ledgers"]):
+            self.files.delete(f"data/{run}")
             return 0
-        todo = changes(visible.filter(F.col("graph_version") <= upper))
-        done = [f"{self.dir}/data/{c['run']}" for c in committed if c["rows"]]
-        if done:
-            todo = todo.join(self.spark.read.parquet(*done).select(*CHANGE), list(CHANGE), "left_anti")
-        run = f"{len(committed):08d}-{uuid.uuid4().hex[:8]}"
-        transform(todo).write.parquet(f"{self.dir}/data/{run}")
-        rows = self.spark.read.parquet(f"{self.dir}/data/{run}").count()
         before_commit()
-        tmp = f"{self.dir}/tmp/{run}"
-        with open(tmp, "w") as f:
-            json.dump({"run": run, "upper": upper, "previous": self.watermark(), "rows": rows}, f)
-            f.flush()
-            os.fsync(f.fileno())
-        # link() fails if another run has committed this number: one of two rivals wins, the other starts again.
-        os.link(tmp, f"{self.dir}/commits/{len(committed):08d}.json")
-        os.unlink(tmp)
+        try:
+            # Fails if another run has committed this number: one of two rivals wins, the other begins again.
+            self.files.create(f"commits/{number:08d}.json", {"number": number, "run": run, "upper": upper, "read": read, "rows": rows, "ledgers": ledgers})
+        except ConflictError:
+            self.files.delete(f"data/{run}")
+            self.files.delete(f"ledger/{run}")
+            raise
         return rows
+
+    def _by(self, df: DataFrame, read: int | None) -> Column:
+        """Rows that were there by ``read``, as a comparison that reaches the scan."""
+        t = df.schema["ingested_at"].dataType
+        return F.col("ingested_at") <= F.timestamp_micros(F.lit(read).cast("bigint")).cast(t)
+
+    def _above(self, df: DataFrame, base: dict) -> Column:
+        if base["read"] is None:
+            return F.lit(True)
+        return (F.col("graph_version") > base["upper"]) | F.col("ingested_at").isNull() | ~self._by(df, base["read"])
+
+    def _taken(self, visible: DataFrame, base: dict, low: int, high: int) -> DataFrame:
+        """Keys of changes of the versions low to high that earlier runs have taken."""
+        old = visible.filter(F.col("graph_version").between(low, high) & (F.col("graph_version") <= base["upper"]) & self._by(visible, base["read"])).select(*CHANGE)
+        if base["ledgers"]:
+            old = old.unionByName(self.spark.read.parquet(*[self.files.url(f"ledger/{x}") for x in base["ledgers"]]).select(*CHANGE))
+        return old.distinct()

@@ -1,13 +1,14 @@
 """References to records that do not exist.
 
-Method: keys are dictionary-encoded as integers, (key range, position in the range); bitmaps of 32,768 positions are
-built per key range and period (partial bitmaps on the map side), for the references and for the parents that are sound
-from a period on; reference AND-NOT parent leaves the bits of which a parent isn't surely there, and these are decoded.
-Bitmaps travel compressed (run-free containers: sorted 16-bit positions, or the plain bitmap where that is shorter).
+Method: the distinct (key, period) of the references and of the parents that are sound from a period on are shuffled by key
+range, a hash of the key. Within a range the keys are dictionary-encoded as integers, and bitmaps are built per range and
+period as containers of 32,768 positions (sorted 16-bit positions, or the plain bits where that is shorter); reference
+AND-NOT parent leaves the bits of which a parent isn't surely there, and these are decoded. Repetitions are gone before the
+shuffle, so a hot key is a few rows, and a range holds about ``keys_per_range`` keys; bitmaps never travel.
 
 A surviving bit only says that a key may be broken in a period, so an exact check follows for the surviving references
-alone: the latest removal among the parent rows loaded until then, a running maximum by time in which no key is gathered
-in one task.
+alone: the latest removal among the parent rows loaded until then, a running maximum by time in which neither a key nor a
+day is gathered in one task.
 
 Defined results
 ---------------
@@ -22,13 +23,12 @@ Defined results
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
 from pyspark.sql.window import Window as W
 
-from graphloom.util import materialize, running_max, small_or_plain
+from graphloom.util import ROWS_A_CHUNK, cuts, materialize, running_max, small_or_plain
 
 BITS = 32_768
 NEVER = "9999-12-31 23:59:59.999999"
@@ -51,23 +51,46 @@ def unpack(container: bytes) -> np.ndarray:
     return out
 
 
-@F.pandas_udf(BinaryType())
-def _pack(bits: pd.Series) -> pd.Series:
-    return bits.map(pack)
+class Bitmap:
+    """Positions as containers, by their number: position // BITS."""
 
+    def __init__(self, at: np.ndarray):
+        at = np.unique(at)
+        cut = np.flatnonzero(np.diff(at // BITS)) + 1
+        self.containers = {int(p[0] // BITS): pack(_bits(p % BITS)) for p in np.split(at, cut) if len(p)}
 
-def _and_not(group: pd.DataFrame) -> pd.DataFrame:
-    """One slice of a key range, all its periods: the references that no earlier period has made sound."""
-    sound, out = np.zeros(BITS, bool), []
-    parents = {p: b for p, k, b in zip(group.period, group.kind, group.bits, strict=True) if k == 1}
-    refs = {p: b for p, k, b in zip(group.period, group.kind, group.bits, strict=True) if k == 0}
-    for period in sorted({*parents, *refs}, key=lambda p: (p is not None, p or "")):
-        if period in refs:
-            left = np.flatnonzero(unpack(refs[period]) & ~sound)
-            out.append(pd.DataFrame({"krange": group.krange.iloc[0], "slice": group.slice.iloc[0], "period": period, "bit": left}))
-        if period in parents and period is not None:
-            sound |= unpack(parents[period])
-    return pd.concat(out) if out else pd.DataFrame({"krange": [], "slice": [], "period": [], "bit": []})
+
+def _bits(at: np.ndarray) -> bytes:
+    out = np.zeros(BITS, bool)
+    out[at] = True
+    return np.packbits(out, bitorder="little").tobytes()
+
+
+def _and_not(table: pa.Table) -> pa.Table:
+    """One key range, all its periods: the references that no earlier period has made sound."""
+    ptype, key = (table[c].combine_chunks().dictionary_encode() for c in ("ptype", "key"))
+    width = len(key.dictionary)
+    both, code = np.unique(ptype.indices.to_numpy().astype(np.int64) * width + key.indices.to_numpy(), return_inverse=True)
+    period = table["period"].to_numpy(zero_copy_only=False)
+    kind = table["kind"].to_numpy()
+    refs, parents = {}, {}
+    periods = sorted({*period.tolist()}, key=lambda p: (p is not None, p or ""))
+    for p in periods:
+        here = period == p if p is not None else np.array([x is None for x in period])
+        refs[p], parents[p] = Bitmap(code[here & (kind == 0)]), Bitmap(code[here & (kind == 1)])
+    sound: dict[int, np.ndarray] = {}
+    codes, when = [], []
+    for p in periods:
+        for n, container in refs[p].containers.items():
+            bits = unpack(container)
+            left = np.flatnonzero(bits & ~sound[n] if n in sound else bits) + n * BITS
+            codes.append(left)
+            when += [p] * len(left)
+        if p is not None:
+            for n, container in parents[p].containers.items():
+                sound[n] = sound.get(n, np.zeros(BITS, bool)) | unpack(container)
+    both = both[np.concatenate(codes)] if codes else np.zeros(0, np.int64)
+    return pa.table({"ptype": ptype.dictionary.take(pa.array(both // width)), "key": key.dictionary.take(pa.array(both % width)), "period": pa.array(when, pa.string())})
 
 
 def references(edges: DataFrame, edge_types: DataFrame) -> DataFrame:
@@ -88,41 +111,28 @@ def references(edges: DataFrame, edge_types: DataFrame) -> DataFrame:
     return e.select("edge_name", "edge_id", "end.*", "loaded_at", "removed_at", F.date_format("loaded_at", "yyyy-MM").alias("period")).filter(F.col("key").isNotNull())
 
 
-def _dictionary(keys: DataFrame, ranges: int) -> DataFrame:
-    krange = F.pmod(F.xxhash64("ptype", "key"), F.lit(ranges)).cast("int")
-    place = F.row_number().over(W.partitionBy("krange").orderBy("ptype", "key")) - 1
-    # One shuffle, by range, serves both the distinct keys and their numbering.
-    d = keys.withColumn("krange", krange).repartition("krange").dropDuplicates(["krange", "ptype", "key"]).withColumn("place", place)
-    return d.select("ptype", "key", "krange", F.floor(F.col("place") / BITS).cast("int").alias("slice"), (F.col("place") % BITS).cast("bigint").alias("bit"))
-
-
-def suspects(refs: DataFrame, nodes: DataFrame, *, keys_per_range: int = 16_384) -> DataFrame:
+def suspects(refs: DataFrame, nodes: DataFrame, ranges: int) -> DataFrame:
     """By bitmaps: (ptype, key, period) of references that aren't surely sound. nodes: ptype, key, loaded_at, removed_at."""
-    ranges = max(1, -(-nodes.count() // keys_per_range))
-    held = refs.select("ptype", "key", "period").distinct()
-    forever = nodes.filter("removed_at is null and loaded_at is not null").groupBy("ptype", "key").agg(F.date_format(F.min("loaded_at"), "yyyy-MM").alias("period"))
-    codes = materialize(_dictionary(held.select("ptype", "key").unionByName(forever.select("ptype", "key")), ranges))
-
-    def bitmaps(rows: DataFrame, kind: int) -> DataFrame:
-        coded = rows.join(codes, ["ptype", "key"])
-        made = coded.groupBy("krange", "slice", "period").agg(F.bitmap_construct_agg("bit").alias("bits"))
-        return made.select("krange", "slice", "period", F.lit(kind).alias("kind"), _pack("bits").alias("bits"))
-
-    both = bitmaps(held, 0).unionByName(bitmaps(forever, 1))
-    left = both.groupBy("krange", "slice").applyInPandas(_and_not, "krange int, slice int, period string, bit bigint")
-    return left.join(codes, ["krange", "slice", "bit"]).select("ptype", "key", "period")
+    held = refs.select("ptype", "key", "period").distinct().withColumn("kind", F.lit(0))
+    forever = nodes.filter("removed_at is null and loaded_at is not null").groupBy("ptype", "key").agg(F.date_format(F.min("loaded_at"), "yyyy-MM").alias("period"), F.lit(1).alias("kind"))
+    krange = F.pmod(F.xxhash64("ptype", "key"), F.lit(ranges)).cast("int")
+    return held.unionByName(forever).withColumn("krange", krange).groupBy("krange").applyInArrow(_and_not, "ptype string, key string, period string")
 
 
-def find_orphans(edges: DataFrame, edge_types: DataFrame, nodes: DataFrame, *, keys_per_range: int = 16_384) -> DataFrame:
+def find_orphans(edges: DataFrame, edge_types: DataFrame, nodes: DataFrame, *, keys_per_range: int = 16_384, rows_a_chunk: int = ROWS_A_CHUNK) -> DataFrame:
     """Broken ends: edge_name, period_month, edge_id, side, reason. nodes: type_name, slug, loaded_at, removed_at."""
     refs = references(edges, edge_types)
     n = nodes.select(F.col("type_name").alias("ptype"), F.col("slug").alias("key"), "loaded_at", "removed_at").filter("ptype is not null and key is not null and loaded_at is not null")
-    open_bits = materialize(suspects(refs, n, keys_per_range=keys_per_range))
-    names = open_bits.select(F.col("ptype").alias("_p"), F.col("key").alias("_k"), F.col("period").alias("_m"))
+    # There can't be more keys than ends and nodes: enough ranges for keys that are missing, too.
+    ranges = max(1, -(-(nodes.count() + 2 * edges.count()) // keys_per_range))
+    open_bits = materialize(suspects(refs, n, ranges))
+    names = small_or_plain(open_bits.select(F.col("ptype").alias("_p"), F.col("key").alias("_k"), F.col("period").alias("_m")), 200_000)
     cand = refs.join(names, (F.col("ptype") == F.col("_p")) & (F.col("key") == F.col("_k")) & F.col("period").eqNullSafe(F.col("_m")), "left_semi")
-    parents = n.join(open_bits.select("ptype", "key"), ["ptype", "key"], "left_semi").withColumn("until", F.coalesce("removed_at", F.lit(NEVER).cast(n.schema["removed_at"].dataType)))
-    seen = running_max(cand, parents, ["ptype", "key"], "loaded_at", "until", F.unix_date(F.to_date("loaded_at")), right_first=True, first_out="first_loaded")
-    sound = F.coalesce((F.col("run") == F.lit(NEVER).cast(n.schema["removed_at"].dataType)) | (F.col("run") >= F.col("removed_at")), F.lit(False))
+    parents = n.join(small_or_plain(open_bits.select("ptype", "key").distinct(), 200_000), ["ptype", "key"], "left_semi")
+    never = F.lit(NEVER).cast(n.schema["removed_at"].dataType)
+    place = F.unix_micros(F.col("loaded_at").cast("timestamp"))
+    seen = running_max(cand, parents.withColumn("until", F.coalesce("removed_at", never)), ["ptype", "key"], "loaded_at", "until", place, cuts(edges, place, rows_a_chunk=rows_a_chunk), right_first=True, first_out="first_loaded")
+    sound = F.coalesce((F.col("run") == never) | (F.col("run") >= F.col("removed_at")), F.lit(False))
     reason = F.when(F.col("first_loaded").isNull(), "missing").when(F.col("run").isNull(), "late").otherwise("deleted")
     return seen.filter(~sound).select("edge_name", F.col("period").alias("period_month"), "edge_id", "side", reason.alias("reason")).distinct()
 

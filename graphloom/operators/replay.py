@@ -5,8 +5,10 @@ and a state machine walks each key's run once: an insert starts a row, an update
 names, a delete ends the row, and a sequence that was applied before is skipped.
 
 The state of a run is mergeable (what was set since the last reset, whether there was a reset, the last position), so
-the log of a hot key is cut into version ranges that are replayed apart and folded afterwards. No task ever holds the
-log of one key; memory is one row's columns.
+the log of a hot key is cut into ranges of (version, sequence) that are replayed apart and folded afterwards. The ranges are
+quantiles of the whole log: none holds more than about ``rows_a_chunk`` rows, however versions are spread. A log of one such
+range has no hot key, and is neither counted by key nor folded. No task ever holds the log of one key; memory is one row's
+columns.
 
 Defined results
 ---------------
@@ -27,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.util import chunk_of
+from graphloom.util import ROWS_A_CHUNK, chunk_of, cuts
 
 OPS = ("insert", "update", "delete")
 #: At most so many keys are hot, which bounds the broadcast of their names.
-MOST_HOT_KEYS = 1000
+MOST_HOT_KEYS = 100_000
 STATE = "type_name string, entity_key string, db_version bigint, seq_in_tx int, op string, live boolean, reset boolean, applied bigint, skipped bigint, columns map<string,string>"
 
 
@@ -131,26 +133,36 @@ def entries(log: DataFrame, catalog: DataFrame | None) -> DataFrame:
     return e.drop("tx_id")
 
 
-def replay(log: DataFrame, catalog: DataFrame | None = None, *, hot_rows: int = 100_000, ranges: int = 64) -> DataFrame:
+def place(version: str = "db_version", seq: str = "seq_in_tx") -> Column:
+    """A number that doesn't decrease with (version, sequence)."""
+    return F.col(version).cast("double") + F.col(seq).cast("double") / (1 << 32)
+
+
+def replay(log: DataFrame, catalog: DataFrame | None = None, *, rows_a_chunk: int = ROWS_A_CHUNK) -> DataFrame:
     """The last state of every entity of ``log``: columns of STATE, dead entities included.
 
-    ``catalog`` holds the committed transactions. A key with more than ``hot_rows`` rows (and more than a thousandth of
-    the log) is replayed in up to ``ranges`` version ranges.
+    ``catalog`` holds the committed transactions. A key with more than ``rows_a_chunk`` rows (and more than one in
+    MOST_HOT_KEYS of the log's) is hot: its log is replayed in ranges.
     """
-    n, low, high = log.agg(F.count("*"), F.min("db_version"), F.max("db_version")).first()
-    least = max(hot_rows, n // MOST_HOT_KEYS)
-    keys = [F.col("type_name"), without_blanks(F.col("entity_key")).alias("entity_key")]
-    hot = log.select(*keys).groupBy("type_name", "entity_key").count().filter(F.col("count") > least)
-    hot = F.broadcast(hot.select(F.col("type_name").alias("_t"), F.col("entity_key").alias("_k")))
+    at = cuts(log, place(), rows_a_chunk=rows_a_chunk)
     e = entries(log, catalog)
-    e = e.join(hot, F.col("type_name").eqNullSafe(F.col("_t")) & (F.col("entity_key") == F.col("_k")), "left")
-    chunk = F.when(F.col("_k").isNotNull(), chunk_of("db_version", low, high, ranges).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+    chunk = F.lit(0).cast("bigint")
+    if at:
+        least = max(rows_a_chunk, log.count() // MOST_HOT_KEYS)
+        keys = [F.col("type_name"), without_blanks(F.col("entity_key")).alias("entity_key")]
+        hot = log.select(*keys).groupBy("type_name", "entity_key").count().filter(F.col("count") > least)
+        hot = F.broadcast(hot.select(F.col("type_name").alias("_t"), F.col("entity_key").alias("_k")))
+        e = e.join(hot, F.col("type_name").eqNullSafe(F.col("_t")) & (F.col("entity_key") == F.col("_k")), "left")
+        chunk = F.when(F.col("_k").isNotNull(), chunk_of(place(), at)).otherwise(0).cast("bigint")
     e = e.select("type_name", "entity_key", chunk.alias("chunk"), "db_version", "seq_in_tx", "arrival_no", "op", "payload")
     parts = (
         e.repartition("type_name", "entity_key", "chunk")
         .sortWithinPartitions("type_name", "entity_key", "chunk", "db_version", "seq_in_tx", "arrival_no", "op", "payload")
         .mapInArrow(_replay, STATE.replace("db_version", "chunk bigint, db_version", 1))
     )
+    if not at:
+        return parts.drop("chunk")
+    # One row per entity and range is folded, not the log.
     return parts.repartition("type_name", "entity_key").sortWithinPartitions("type_name", "entity_key", "chunk").mapInArrow(_fold, STATE)
 
 

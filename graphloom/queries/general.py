@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from graphloom.operators import compaction, incremental, orphans, replay
 from graphloom.sources.tables import read
+from graphloom.util import ensure_checkpoint_dir
 
 
 def p1_found(spark, d):
@@ -22,7 +25,12 @@ def p2_report(spark, d):
 
 
 def p3_found(spark, d):
-    return incremental.pending(read(spark, d, "visible_changes"), read(spark, d, "sync_runs")).select("table_id", "entity_id", "graph_version")
+    """The next run after those of sync_runs, bounded, written and committed; what it has written."""
+    job = incremental.IncrementalJob(spark, f"{ensure_checkpoint_dir(spark)}/job-{uuid.uuid4().hex}", read(spark, d, "sync_runs"))
+    visible = read(spark, d, "visible_changes")
+    job.run(visible, lambda todo: todo.select(*incremental.CHANGE))
+    out = job.output()
+    return visible.select(*incremental.CHANGE).limit(0) if out is None else out
 
 
 def p4_found(spark, d):

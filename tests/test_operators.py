@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.operators import compaction, incremental, orphans, replay
-from graphloom.util import running_max
+from graphloom.util import chunk_of, cuts, running_max
 
 T0 = dt.datetime(2025, 1, 1)
 LOG = "arrival_no bigint, tx_id string, db_version bigint, seq_in_tx int, op string, entity_kind string, type_name string, entity_key string, payload string, committed_at timestamp, chunk string, live int"
@@ -32,8 +32,8 @@ def brute_replay(rows, committed):
     return {k: (*seen[k], c) for k, c in state.items()}
 
 
-@pytest.mark.parametrize("hot_rows", [5, 100_000])
-def test_replay_equals_brute_force(spark, hot_rows):
+@pytest.mark.parametrize("rows_a_chunk", [5, 60, 100_000])
+def test_replay_equals_brute_force(spark, rows_a_chunk):
     rng = random.Random(4)
     rows = []
     for v in range(1, 120):
@@ -47,7 +47,7 @@ def test_replay_equals_brute_force(spark, hot_rows):
     rows += [("tx1", 1, 9, "insert", "T", None, None), ("tx1", None, 9, "insert", "T", "id=5", None), ("tx1", 1, 9, "bogus", "T", "id=5", None), ("lost", 999, 0, "insert", "T", "id=77", None)]
     committed = {f"tx{v}" for v in range(1, 120) if v % 7}
     cat = spark.createDataFrame([(t,) for t in [*committed, *committed, None]], "tx_id string")
-    got = replay.current(log_rows(spark, rows), cat, hot_rows=hot_rows, ranges=5).collect()
+    got = replay.current(log_rows(spark, rows), cat, rows_a_chunk=rows_a_chunk).collect()
     mine = {(r.type_name, r.entity_key): (r.db_version, r.seq_in_tx, r["columns"]) for r in got}
     assert len(mine) == len(got)
     assert mine == brute_replay(rows, committed)
@@ -93,8 +93,8 @@ def brute_orphans(edges, types, nodes):
     return out
 
 
-@pytest.mark.parametrize("keys_per_range", [3, 16_384])
-def test_orphans_equal_brute_force(spark, keys_per_range):
+@pytest.mark.parametrize(("keys_per_range", "rows_a_chunk"), [(3, 20), (16_384, 200_000)])
+def test_orphans_equal_brute_force(spark, keys_per_range, rows_a_chunk):
     rng = random.Random(5)
     keys = ["", "a", "b", "hot", "hot", "hot", "c", "Ä", "a "]
     types = [("Knows", "P", "P"), ("In", "P", "Q"), ("in", "Q", "P")]
@@ -102,7 +102,7 @@ def test_orphans_equal_brute_force(spark, keys_per_range):
     edges = [(i, rng.choice(["Knows", "knows", "In", "in", "Nope", None]), rng.choice([*keys, None]), rng.choice([*keys, None]), when(), rng.choice([None, when()]), "clash") for i in range(300)]
     edges += edges[:20]
     nodes = [(rng.choice(["P", "Q", None]), rng.choice([*keys[:-2], None]), when(), rng.choice([None, when(), when()]), "clash") for _ in range(25)]
-    got = orphans.find_orphans(spark.createDataFrame(edges, EDGE), spark.createDataFrame(types, TYPES), spark.createDataFrame(nodes + nodes[:3], NODE), keys_per_range=keys_per_range).collect()
+    got = orphans.find_orphans(spark.createDataFrame(edges, EDGE), spark.createDataFrame(types, TYPES), spark.createDataFrame(nodes + nodes[:3], NODE), keys_per_range=keys_per_range, rows_a_chunk=rows_a_chunk).collect()
     assert len(set(got)) == len(got)
     want = brute_orphans([e for e in edges if e[1] is not None], types, nodes)
     assert {tuple(r) for r in got} == want
@@ -125,20 +125,32 @@ def test_containers_round_trip():
         assert len(c) <= orphans.BITS // 8 + 1 and orphans.unpack(c).sum() == n
 
 
-def test_running_max_by_chunks(spark):
+@pytest.mark.parametrize("rows_a_chunk", [1, 20, 1000])
+def test_running_max_by_chunks(spark, rows_a_chunk):
     rng = random.Random(6)
-    left = [(rng.choice("ab"), rng.randrange(40), i) for i in range(80)]
+    left = [(rng.choice("ab"), rng.choice([None, rng.randrange(40)]), i) for i in range(80)]
     right = [(rng.choice("abc"), rng.randrange(40), rng.randrange(100)) for _ in range(40)]
     l, r = spark.createDataFrame(left, "k string, at int, i int"), spark.createDataFrame(right, "k string, at int, v int")
+    chunks = cuts(l, F.col("at"), rows_a_chunk=rows_a_chunk)
     for first in (True, False):
-        got = running_max(l, r, ["k"], "at", "v", F.floor(F.col("at") / 7), right_first=first, first_out="lo").collect()
+        got = running_max(l, r, ["k"], "at", "v", F.col("at"), chunks, right_first=first, first_out="lo").collect()
         for x in got:
-            before = [v for k, at, v in right if k == x.k and (at <= x["at"] if first else at < x["at"])]
+            before = [v for k, at, v in right if k == x.k and x["at"] is not None and (at <= x["at"] if first else at < x["at"])]
             assert x.run == max(before, default=None)
             assert x.lo == min((at for k, at, _ in right if k == x.k), default=None)
         assert len(got) == 80
 
 
+@pytest.mark.parametrize("rows", [20_000, 500])
+def test_chunks_hold_few_rows_whatever_lies_outside(spark, rows):
+    """One outlying version and one day of bulk load leave the other chunks as they are: at most twice the rows asked for."""
+    df = spark.range(200_000).select(F.when(F.col("id") == 0, 10**15).when(F.col("id") < 100_000, 500_000 + F.col("id") % 1000).otherwise(F.col("id")).alias("v"))
+    at = cuts(df, F.col("v"), rows_a_chunk=rows)
+    got = df.groupBy(chunk_of(F.col("v"), at).alias("c")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("c").collect()
+    assert max(r.n for r in got) <= 2 * rows and sum(r.n for r in got) == 200_000
+    assert all(a.hi < b.lo for a, b in zip(got, got[1:], strict=False))
+
+
 VISIBLE = "graph_version bigint, tx_id string, table_id string, entity_id bigint, previous_graph_version bigint, ingested_at timestamp, first_ingested_at int"
 RUNS = "run_id bigint, table_id string, from_version bigint, to_version bigint, read_at timestamp, status string"
 
@@ -152,7 +164,7 @@ def test_pending_equals_brute_force(spark):
     rng = random.Random(7)
     rows, df = visible(spark, rng)
     runs = [(i, rng.choice(["a", "b", "c", None]), lo := rng.randrange(50), rng.choice([lo, lo + rng.randrange(20), None]), rng.choice([None, day(rng.randrange(30))]), rng.choice(["succeeded", " SUCCEEDED ", "failed", None])) for i in range(30)]
-    got = incremental.pending(df, spark.createDataFrame(runs + runs[:5], RUNS), ranges=7).select("table_id", "entity_id", "graph_version").collect()
+    got = incremental.pending(df, spark.createDataFrame(runs + runs[:5], RUNS), rows_a_chunk=30).select("table_id", "entity_id", "graph_version").collect()
     seen = {}
     for v, _, t, e, _, at, _ in rows:
         if t is not None:
@@ -173,6 +185,10 @@ def test_pending_without_runs_or_changes(spark):
     assert incremental.pending(spark.createDataFrame([], VISIBLE), none).count() == 0
 
 
+def keys_of(df):
+    return {(r.table_id, r.entity_id, r.graph_version) for r in df.collect()}
+
+
 def test_job_survives_failures_and_late_rows(spark, tmp_path):
     rng = random.Random(8)
     rows, df = visible(spark, rng)
@@ -185,18 +201,71 @@ def test_job_survives_failures_and_late_rows(spark, tmp_path):
     with pytest.raises(RuntimeError):
         job.run(df, before_commit=die)
     assert job.output() is None and job.watermark() is None
-    early = df.filter("graph_version < 30")
+    early = df.filter("graph_version < 30 and (ingested_at is null or day(ingested_at) < 20)")
     assert job.run(early) > 0
     assert job.watermark() == 29
-    late = spark.createDataFrame([(5, "txl", "a", 99, None, day(3), 0)], VISIBLE)
-    assert job.run(df.unionByName(late)) > 0
-    assert job.run(df.unionByName(late)) == 0
+    with pytest.raises(RuntimeError):
+        job.run(df, before_commit=die)
+    late = df.unionByName(spark.createDataFrame([(5, "txl", "a", 99, None, day(300), 0), (5, "txn", "a", 98, None, None, 0)], VISIBLE))
+    assert job.run(df) > 0 and job.run(late) == 2
+    again = spark.createDataFrame([(5, "txl", "a", 99, None, day(301), 0), (5, "txn", "a", 98, None, day(302), 0)], VISIBLE)
+    assert job.run(late) == 0 and job.run(late.unionByName(again)) == 0
     out = [tuple(r) for r in job.output().select(*incremental.CHANGE).collect()]
-    assert len(out) == len(set(out))
-    assert set(out) == {(r.table_id, r.entity_id, r.graph_version) for r in incremental.changes(df.unionByName(late)).collect()}
+    assert len(out) == len(set(out)) and set(out) == keys_of(incremental.changes(late))
     assert incremental.IncrementalJob(spark, str(tmp_path / "none")).run(spark.createDataFrame([], VISIBLE)) == 0
 
 
+def test_job_takes_each_record_once_whatever_its_transform_drops(spark, tmp_path):
+    _, df = visible(spark, random.Random(9))
+    df = df.filter("ingested_at is not null")
+    job = incremental.IncrementalJob(spark, str(tmp_path / "job"))
+    odd = lambda t: t.filter("entity_id % 2 = 1").select("entity_id", "tx_id")
+    handled = []
+    for part in (df.filter("graph_version < 20"), df.filter("graph_version < 45"), df, df):
+        handled.append(job.run(part, odd))
+    assert handled[0] > 0 and handled[3] == 0
+    assert sum(handled) == incremental.changes(df).filter("entity_id % 2 = 1").count() == job.output().count()
+
+
+def test_a_run_over_nothing_new_reads_no_old_rows(spark, tmp_path):
+    _, df = visible(spark, random.Random(10))
+    df = df.filter("ingested_at is not null")
+    job = incremental.IncrementalJob(spark, str(tmp_path / "job"))
+    job.run(df)
+    last = job.last()
+    guarded = df.withColumn("tx_id", F.when(F.lit(True), F.raise_error(F.lit("old row read"))).cast("string"))
+    assert job.run(guarded) == 0
+    fresh = spark.createDataFrame([(last["upper"] + 1, "new", "a", 1, None, day(400), 0)], VISIBLE)
+    assert job.run(guarded.unionByName(fresh)) == 1
+    path = str(tmp_path / "visible")
+    df.write.parquet(path)
+    plan = spark.read.schema(VISIBLE).parquet(path).filter(job._above(df, job.last()))._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [Or(" in plan
+
+
+def test_rival_runs(spark, tmp_path):
+    _, df = visible(spark, random.Random(11), 40)
+    job, rival = (incremental.IncrementalJob(spark, str(tmp_path / "job")) for _ in range(2))
+    once = []
+
+    def overtaken():
+        if not once:
+            once.append(rival.run(df.filter("graph_version < 30")))
+
+    job.run(df, before_commit=overtaken)
+    out = [tuple(r) for r in job.output().select(*incremental.CHANGE).collect()]
+    assert once[0] > 0 and len(out) == len(set(out)) and set(out) == keys_of(incremental.changes(df))
+    assert len(job.numbers()) == 2 and len(job.files.list("data")) == 2
+
+
+def test_job_follows_an_earlier_reader(spark, tmp_path):
+    _, df = visible(spark, random.Random(12))
+    runs = spark.createDataFrame([(1, "a", 0, 40, day(15), "succeeded"), (2, "b", 10, 60, day(60), "Succeeded")], RUNS)
+    job = incremental.IncrementalJob(spark, str(tmp_path / "job"), runs)
+    assert job.run(df) == incremental.pending(df, runs).count() > 0
+    assert keys_of(job.output()) == keys_of(incremental.pending(df, runs)) and job.run(df) == 0
+
+
 DS = "type_id bigint, table_id string, dataset_version bigint, row_count bigint, target_rows_per_fragment bigint, size int"
 FR = "table_id string, fragment_id bigint, added_version bigint, removed_version bigint, physical_rows bigint, target int"
 ROWS = "table_id string, fragment_id bigint, row_id bigint, is_deleted boolean, payload string, goes int"
