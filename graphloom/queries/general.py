@@ -33,17 +33,41 @@ def p3_found(spark, d):
     return visible.select(*incremental.CHANGE).limit(0) if out is None else out
 
 
+def _root(spark) -> str:
+    return f"{ensure_checkpoint_dir(spark)}/fragments-{uuid.uuid4().hex}"
+
+
+def _compacted(spark, d):
+    return compaction.removed_by(read(spark, d, "datasets"), read(spark, d, "fragments"), read(spark, d, "fragment_rows"), _root(spark))
+
+
 def p4_found(spark, d):
-    return compaction.plan(read(spark, d, "datasets"), read(spark, d, "fragments"), read(spark, d, "fragment_rows")).select("table_id", "fragment_id")
+    """The fragments that a committed compaction has removed."""
+    return _compacted(spark, d)[1]
+
+
+def _datasets(store):
+    """Per dataset what is read after a compaction: fragments, records, and the largest of the new fragments."""
+    live = store.table("live").groupBy("table_id").agg(F.count("*").alias("fragments"), F.coalesce(F.max(F.when(F.col("generation") == store.version() + 1, F.col("size"))), F.lit(0)).alias("largest_new"))
+    r = store.read().groupBy("table_id").agg(F.count("*").alias("records"), F.count_distinct("row_id").alias("row_ids"), F.sum(F.length("payload")).alias("payload_chars"), F.sum(F.conv(F.substring(F.md5("payload"), 1, 8), 16, 10).cast("bigint")).alias("payload_sum"))
+    return live.join(r, "table_id", "left")
 
 
 def p4_rewritten(spark, d):
-    """What compaction writes: per dataset the new fragments and their rows."""
-    r = compaction.rewritten(read(spark, d, "datasets"), read(spark, d, "fragments"), read(spark, d, "fragment_rows"))
-    return r.groupBy("table_id").agg(F.count("*").alias("records"), F.count_distinct("row_id").alias("row_ids"))
+    """What compaction leaves, by dataset."""
+    return _datasets(_compacted(spark, d)[0])
+
 
+def p4_files(spark, d):
+    """The same with every live fragment written as a tiny file of its own first."""
+    datasets = read(spark, d, "datasets")
+    store = compaction.FragmentStore(spark, _root(spark))
+    store.adopt(datasets, read(spark, d, "fragments"), read(spark, d, "fragment_rows"))
+    store.compact(datasets)
+    return _datasets(store)
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_report, p3_found, p4_found, p4_rewritten)}
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_report, p3_found, p4_found, p4_rewritten, p4_files)}
 
 _P2 = """
 WITH nodes AS (
@@ -92,7 +116,18 @@ SELECT table_id, entity_id, graph_version FROM c WHERE NOT EXISTS (
   AND r.from_version < c.graph_version AND c.graph_version <= r.to_version AND r.read_at >= c.seen)
 """,
     "p4_found": _P4 + "SELECT table_id, fragment_id FROM p WHERE (size < target AND n_small >= 2) OR deleted * 10 > size",
-    "p4_rewritten": _P4
-    + """SELECT table_id, count(*) AS records, count(*) AS row_ids FROM (
-  SELECT DISTINCT r.table_id, r.row_id FROM fragment_rows r JOIN live USING (table_id, fragment_id) WHERE r.is_deleted IS NOT TRUE) GROUP BY 1""",
 }
+#: As the operator defines it: chosen fragments in order, cut where their running live rows pass the target; a record lies
+#: where its fragment stays, else in the new fragment of its lowest chosen one.
+ORACLE["p4_rewritten"] = ORACLE["p4_files"] = (
+    _P4
+    + """, c AS (SELECT *, (size < target AND n_small >= 2) OR deleted * 10 > size AS goes FROM p),
+s AS (SELECT *, coalesce(sum(CASE WHEN goes THEN size - deleted END) OVER (PARTITION BY table_id ORDER BY fragment_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM c),
+r AS (SELECT r.table_id, r.row_id, r.payload, s.goes, s.fragment_id, (s.start // greatest(coalesce(s.target, 1), 1))::BIGINT AS n FROM fragment_rows r JOIN s USING (table_id, fragment_id) WHERE r.is_deleted IS NOT TRUE),
+one AS (SELECT *, row_number() OVER (PARTITION BY table_id, row_id ORDER BY goes, fragment_id) AS k FROM r),
+new AS (SELECT table_id, n, count(*) AS size FROM one WHERE k = 1 AND goes GROUP BY ALL),
+f AS (SELECT table_id, 1 AS live, 0 AS size FROM c WHERE NOT goes UNION ALL SELECT table_id, 1, size FROM new),
+x AS (SELECT table_id, count(*) AS records, count(*) AS row_ids, sum(length(payload))::BIGINT AS payload_chars, sum(('0x' || md5(payload)[1:8])::BIGINT)::BIGINT AS payload_sum FROM one WHERE k = 1 GROUP BY 1)
+SELECT g.table_id, g.fragments, g.largest_new, records, row_ids, payload_chars, payload_sum FROM (SELECT table_id, count(*) AS fragments, max(size)::BIGINT AS largest_new FROM f GROUP BY 1) g LEFT JOIN x ON x.table_id = g.table_id
+"""
+)

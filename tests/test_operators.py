@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom.errors import ConflictError
 from graphloom.operators import compaction, incremental, orphans, replay
 from graphloom.util import chunk_of, cuts, running_max
 
@@ -303,24 +304,69 @@ def test_compaction(spark, tmp_path, seed):
     starts = {(x.table_id, x.fragment_id): x.start for x in compaction.assign(compaction.plan(d, f, r), chunk_fragments=3).collect()}
     for t, k in gone:
         assert starts[(t, k)] == sum(sum((x.table_id, x.fragment_id) == (y[0], y[1]) and not y[3] for y in rows) for x in got if x.table_id == t and x.fragment_id < k)
-    want = {(t, i) for t, k, i, dead, *_ in rows if (t, k) in live and not dead}
-    out = compaction.rewritten(d, f, r).collect()
-    assert len(out) == len(want) and {(x.table_id, x.row_id) for x in out} == want
-
+    want = {(t, i, p) for t, k, i, dead, p, *_ in rows if (t, k) in live and not dead}
+
+    in_place, removed = compaction.removed_by(d, f, r, str(tmp_path / "p"))
+    assert keys(removed, *compaction.KEY) == gone
+    files = compaction.FragmentStore(spark, str(tmp_path / "s"))
+    files.adopt(d, f, r)
+    assert len(list((tmp_path / "s" / "data").rglob("*.parquet"))) == len({x[:2] for x in rows} & live)
+    done = files.compact(d)
+    assert done["fragments_removed"] == len(gone)
+    for store in (in_place, files):
+        out = store.read().collect()
+        assert len(out) == len(want) and {(x.table_id, x.row_id, x.payload) for x in out} == want
+        # Nothing of the first snapshot is lost to its readers.
+        first = {(x.table_id, x.row_id, x.payload) for x in store.read(0).collect()}
+        assert first == want and keys(store.table("live", 0), *compaction.KEY) == live
+        new = keys(store.table("live"), *compaction.KEY) - live
+        top = {t: max(x[1] for x in fr if x[0] == t) for t, _ in live}
+        assert len(new) == done["fragments_added"] and all(k > top[t] for t, k in new)
+        with pytest.raises(ConflictError):
+            store.commit(0, "x")
+    files.vacuum()
+    assert {(x.table_id, x.row_id, x.payload) for x in files.read().collect()} == want
+
+
+def keys(df, *names):
+    return {tuple(r) for r in df.select(*names).collect()}
+
+
+def test_compaction_keeps_ids_apart(spark, tmp_path):
+    """Ids over a million, many new fragments, a second compaction: no id is used twice in a dataset."""
+    big = 3_000_000
+    ds = [(0, "t", 10, None, 1, 1)]
+    fr = [("t", big + i, 1, None, None, 0) for i in range(6)] + [("t", big + 50, 1, 2, None, 0)]
+    rows = [("t", big + i // 3, i, i % 3 == 0, f"p{i}", 0) for i in range(18)]
+    d = spark.createDataFrame(ds, DS)
     store = compaction.FragmentStore(spark, str(tmp_path / "s"))
-    alive = r.join(compaction.live_fragments(d, f), ["table_id", "fragment_id"], "left_semi")
-    store.write_fragments(alive)
-    before = {t: len(p) for t, p in store.files().items()}
-    done = store.compact(d, f)
-    after = {t: len(p) for t, p in store.files().items()}
-    assert sum(after.values()) == sum(before.values()) - len({k for k in gone if any((x[0], x[1]) == k for x in rows)}) + done["fragments_added"]
-    kept = {(x.table_id, x.row_id) for x in store.read().filter("is_deleted is not true").collect()}
-    assert kept == want
-    assert store.read(0).count() == alive.count()
-    with pytest.raises(compaction.Conflict):
-        store.commit(0, {})
-
-
-def test_compaction_of_nothing(spark):
+    store.adopt(d, spark.createDataFrame(fr, FR), spark.createDataFrame(rows, ROWS))
+    assert store.compact(d) == {"fragments_removed": 6, "fragments_added": 6, "rows_rewritten": 12}
+    first = keys(store.table("live"), "fragment_id")
+    assert min(first)[0] == big + 51
+    wider = spark.createDataFrame([(0, "t", 10, None, 5, 1)], DS)
+    store.compact(wider)
+    second = keys(store.table("live"), "fragment_id")
+    assert not first & second and min(second)[0] > max(first)[0]
+    # Fragments of two rows were put together whole: 6, 4 and 2 rows; the two small ones once more, and then no more.
+    assert store.read().count() == 12 and [store.compact(wider)["fragments_removed"] for _ in range(2)] == [2, 0]
+    assert sorted(r["size"] for r in store.table("live").select("size").collect()) == [6, 6] and store.read().count() == 12
+
+
+def test_compaction_conflict(spark, tmp_path, monkeypatch):
+    ds, fr, rows = tables(spark, 9)
+    d = spark.createDataFrame(ds, DS)
+    store, rival = (compaction.FragmentStore(spark, str(tmp_path / "s")) for _ in range(2))
+    store.adopt(d, spark.createDataFrame(fr, FR), spark.createDataFrame(rows, ROWS))
+    before = keys(store.read(), "table_id", "row_id", "payload")
+    check = store._check
+    monkeypatch.setattr(store, "_check", lambda *a: (rival.commit(0, rival.snapshot(0)["snapshot"], repeated=True), check(*a))[1])
+    with pytest.raises(ConflictError):
+        store.compact(d)
+    assert keys(store.read(), "table_id", "row_id", "payload") == before
+
+
+def test_compaction_of_nothing(spark, tmp_path):
     d, f, r = spark.createDataFrame([], DS), spark.createDataFrame([], FR), spark.createDataFrame([], ROWS)
-    assert compaction.plan(d, f, r).count() == 0 and compaction.rewritten(d, f, r).count() == 0
+    store, removed = compaction.removed_by(d, f, r, str(tmp_path / "s"))
+    assert compaction.plan(d, f, r).count() == 0 and removed.count() == 0 and store.read().count() == 0
