@@ -42,6 +42,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--limit", type=int)
     add("compact")
     c = add("cleanup")
+    c.add_argument("--older-than", type=float, default=86_400.0, help="seconds that a folder must have been left alone")
     c.add_argument("--keep", type=int, default=1)
     add("doctor")
     add("schema-diff", "--from", "--to")
@@ -142,7 +143,7 @@ def run(a: argparse.Namespace, spark) -> int:
     elif a.command == "compact":
         print(json.dumps(db.compact()))
     elif a.command == "cleanup":
-        print(json.dumps(db.cleanup(keep=a.keep)))
+        print(json.dumps(db.cleanup(keep=a.keep, older_than=a.older_than)))
     elif a.command == "doctor":
         problems = db.doctor()
         print("\n".join(problems) or "sound")

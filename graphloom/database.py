@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from graphloom import formats
 from graphloom.errors import ConflictError, GraphError, PlanError
-from graphloom.functions.vector import chunked_embedding, embed_texts, mock_embedding
+from graphloom.functions.vector import chunked_embedding, mock_embedding
 from graphloom.operators.mutate import Affected, Mutator
 from graphloom.plans import migrate as M
 from graphloom.plans import query as Q
@@ -54,10 +54,12 @@ class Finding:
 class GraphDB:
     """A graph at a path; every method works on the newest committed version unless it says otherwise."""
 
-    def __init__(self, spark: SparkSession, path: str, *, provider: Callable = mock_embedding):
+    def __init__(self, spark: SparkSession, path: str, *, provider: Callable = mock_embedding, cache: str | None = None, model: str | None = None):
+        """``cache``: a folder (of any file system) in which vectors of texts are kept for later loads, under ``model``'s name."""
         if spark.conf.get("spark.sql.session.timeZone") not in ("UTC", "Etc/UTC", "GMT", "Etc/GMT", "Zulu", "Z", "+00:00", "GMT+0"):
             raise GraphError("set spark.sql.session.timeZone to UTC")
         self.spark, self.path, self.provider = spark, path, provider
+        self.cache, self.model = cache, model or getattr(provider, "model", getattr(provider, "__name__", "provider"))
         self.store = Store(spark, path)
         self.temporary = False
         self._cache: dict[tuple[str, str], dict[str, Q.Query]] = {}
@@ -183,10 +185,10 @@ class GraphDB:
     # -- data in and out
 
     def load(self, text: str, mode: str | None = None) -> Version:
-        return jsonl.load(self.store, text=text, mode=mode, provider=self._embed)
+        return jsonl.load(self.store, text=text, mode=mode, provider=self._embed, cache=self.cache, model=self.model)
 
     def load_file(self, path: str, mode: str | None = None) -> Version:
-        return jsonl.load(self.store, path=path, mode=mode, provider=self._embed)
+        return jsonl.load(self.store, path=path, mode=mode, provider=self._embed, cache=self.cache, model=self.model)
 
     @property
     def _embed(self) -> Callable:
@@ -201,26 +203,36 @@ class GraphDB:
     # -- upkeep
 
     def embed(self, type_name: str | None = None, prop: str | None = None, *, only_null: bool = True, limit: int | None = None, dry_run: bool = False) -> int:
-        """Fill vectors of @embed properties; the number of rows that get one."""
+        """Fill vectors of @embed properties, at most ``limit`` of all types and properties together; the number that is made.
+
+        Vectors are made once and kept (``cache``), and only tables that get one are written.
+        """
         base = self.store.version()
         tables, n = {}, 0
         for t in base.catalog.nodes.values():
             targets = [p for p in t.props.values() if p.embed and prop in (None, p.name)]
             if not targets or type_name not in (None, t.name):
                 continue
-            df = self.store.table(base, f"node:{t.name}")
+            df, mine = self.store.table(base, f"node:{t.name}"), 0
             for p in targets:
                 due = F.col(p.embed).isNotNull() & (F.col(p.name).isNull() if only_null else F.lit(True))
                 if limit is not None:
-                    ids = df.filter(due).select("id").orderBy("id").limit(limit)
-                    df = df.join(ids.withColumn("_due", F.lit(True)), "id", "left")
-                    due = F.coalesce("_due", F.lit(False))
-                n += df.filter(due).count()
-                made = embed_texts(p.type.dim, self._embed)(F.when(due, F.col(p.embed)))
-                df = df.withColumn(p.name, F.when(due, made).otherwise(F.col(p.name)))
-            if not dry_run:
+                    left = limit - n - mine
+                    if left <= 0:
+                        break
+                    flag = f"_due:{p.name}"
+                    ids = df.filter(due).select("id").orderBy("id").limit(left).withColumn(flag, F.lit(True))
+                    df = df.join(ids, "id", "left")
+                    due = F.coalesce(F.col(f"`{flag}`"), F.lit(False))
+                k = df.filter(due).count()
+                mine += k
+                if k and not dry_run:
+                    made = F.when(due, F.col(p.embed))
+                    df = jsonl.embed_column(df.withColumn("_text", made).withColumn(p.name, F.when(~due, F.col(p.name))), "_text", p, self._embed, self.cache, self.model)
+            if mine and not dry_run:
                 tables[f"node:{t.name}"] = [self.store.write(f"node:{t.name}", df.select("id", *t.props))]
-        if tables and n:
+            n += mine
+        if tables:
             self.store.commit(base, tables, summary="embed")
         return n
 
@@ -235,22 +247,36 @@ class GraphDB:
             tables[name] = [self.store.write(name, self.store.table(base, name).repartition(max(1, -(-size // target_bytes)), "id"))]
             removed += len(paths)
         if tables:
-            none = self.spark.createDataFrame([], "change_kind string, entity_kind string, type_name string, entity_id bigint, logical_key string, row string")
-            self.store.commit(base, tables, summary="compact", changes=none)
+            self.store.commit(base, tables, summary="compact", changes=self.store.no_changes())
         return {"tables": len(tables), "folders_removed": removed, "folders_added": len(tables)}
 
-    def cleanup(self, *, keep: int = 1) -> dict[str, int]:
-        """Drop all versions but the newest ``keep`` and the folders that none of these names; logs stay."""
-        numbers = self.store.numbers()
-        kept = numbers[-max(1, keep) :]
+    def cleanup(self, *, keep: int = 1, older_than: float = 86_400.0) -> dict[str, int]:
+        """Drop all versions but the newest ``keep``, with their manifests and logs, and the folders that none of these names.
+
+        A folder that no manifest names may belong to a commit under way, and one of a dropped version to a reader that still
+        has it open: only folders untouched for ``older_than`` seconds go, and manifests of versions committed before that.
+        """
+        files, numbers = self.store.files, self.store.numbers()
+        old = [n for n in numbers[: -max(1, keep)] if files.age(f"manifests/{n:012d}.json") >= older_than]
+        # Versions go from the oldest on, without a gap.
+        dropped = numbers[: len(old)]
+        kept = numbers[len(dropped) :]
         used = {p for n in kept for ps in self.store.version(n).tables.values() for p in ps}
+        good = set(self.store.log_folders(-1, numbers[-1]))
         folders = 0
-        for table in self.store.files.list("data"):
-            for folder in self.store.files.list(f"data/{table}"):
-                if f"data/{table}/{folder}" not in used:
-                    self.store.files.delete(f"data/{table}/{folder}")
+        for table in files.list("data"):
+            for folder in files.list(f"data/{table}"):
+                path = f"data/{table}/{folder}"
+                if path not in used and files.age(path) >= older_than:
+                    files.delete(path)
                     folders += 1
-        return {"folders": folders, "versions": len(numbers) - len(kept)}
+        for n in dropped:
+            files.delete(f"manifests/{n:012d}.json")
+        for name in files.list("log"):
+            n = int(name.partition("-")[0])
+            if n < kept[0] or (n <= kept[-1] and name not in good and files.age(f"log/{name}") >= older_than):
+                files.delete(f"log/{name}")
+        return {"folders": folders, "versions": len(dropped)}
 
     def doctor(self) -> list[str]:
         """What is wrong with the newest version: lost folders, double ids, keys and pairs, edges without ends."""

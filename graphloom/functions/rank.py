@@ -15,7 +15,7 @@ def global_rank(df: DataFrame, order: list[Column], out: str) -> DataFrame:
     """``df`` with the 1-based place of each row in ``order`` (which should be total).
 
     Rows are range-partitioned in order and numbered within their partition; the partitions' counts, one row each,
-    give the offsets. The ranges are cut from a sample, so their result is kept before it is read twice.
+    give the offsets. The ranges are cut from a sample, so their result is kept before it is read twice: rank narrow rows.
     """
     ranged = materialize(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     local = ranged.withColumn("_n", F.row_number().over(W.partitionBy("_part").orderBy(*order)))

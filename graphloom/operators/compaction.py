@@ -120,10 +120,12 @@ class FragmentStore:
         """The rows (deleted ones too) of the fragments named in ``live``, with generation."""
         cols = [*FRAGMENT, "row_id", "is_deleted", "payload"]
         parts = []
-        if self.raw is not None:
+        # One number a compaction; so only the partitions of these generations are listed and read.
+        generations = [r[0] for r in live.select("generation").distinct().collect()]
+        if self.raw is not None and 0 in generations:
             parts.append(self.raw.withColumn("generation", F.lit(0).cast("bigint")).select(*cols))
-        if self.files.exists("data"):
-            stored = self.spark.read.schema(DATA).parquet(self.files.url("data"))
+        if any(generations):
+            stored = self.spark.read.schema(DATA).parquet(self.files.url("data")).filter(F.col("_g").isin(generations))
             parts.append(stored.withColumnsRenamed({"_t": "table_id", "_f": "fragment_id", "_g": "generation"}).select(*cols))
         if not parts:
             return self.spark.createDataFrame([], "table_id string, fragment_id bigint, generation bigint, row_id bigint, is_deleted boolean, payload string")

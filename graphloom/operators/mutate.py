@@ -19,7 +19,8 @@ from graphloom.plans.params import literal
 from graphloom.plans.schema import EdgeType, NodeType
 from graphloom.plans.typecheck import coerced
 from graphloom.plans.types import PropType
-from graphloom.sources.store import Store, Version, image
+from graphloom.sources.store import Store, folder, image
+from graphloom.util import small_or_plain
 
 
 @dataclass(frozen=True)
@@ -89,12 +90,11 @@ class Mutator:
         paths = self.base.tables.get(name, [])
         if not paths:
             return [], [], 0
-        folder = F.regexp_extract("_metadata.file_path", r"/(data/[^/]+/[^/]+)/[^/]+$", 1)
-        hits = dict(tuple(r) for r in self.store.table(self.base, name).filter(condition).groupBy(folder).count().collect())
+        hits = dict(tuple(r) for r in self.store.table(self.base, name).filter(condition).groupBy(folder()).count().collect())
         return [p for p in paths if p not in hits], [p for p in paths if p in hits], sum(hits.values())
 
     def part(self, name: str, paths: list[str]) -> DataFrame:
-        return self.store.table(Version(0, self.cat, "", {name: paths}, 0, 0, "", "", ""), name)
+        return self.store.part(self.base, name, paths)
 
     def unique(self, t: NodeType, values: dict[str, object], except_id: int | None = None) -> None:
         old = self.store.table(self.base, f"node:{t.name}")
@@ -169,25 +169,27 @@ class Mutator:
         gone = old.filter(c)
         tables = {name: [*keep, self.store.write(name, old.filter(~c))]}
         changes, edges = image("node", t.name, gone, "delete"), 0
-        ids = gone.select(F.col("id").alias("_gone"))
+        ids = small_or_plain(gone.select(F.col("id").alias("_gone")), 100_000)
         for e in self.cat.edges.values():
-            if t.name not in (e.source, e.target) or not self.base.tables.get(f"edge:{e.name}"):
+            edge = f"edge:{e.name}"
+            paths = self.base.tables.get(edge, [])
+            if t.name not in (e.source, e.target) or not paths:
                 continue
-            table = self.store.table(self.base, f"edge:{e.name}")
-            sides = [s for s, x in (("src", e.source), ("dst", e.target)) if x == t.name]
-            lost = table
-            cut = None
-            for s in sides:
-                one = table.join(ids, F.col(s) == F.col("_gone"), "left_semi")
-                cut = one if cut is None else cut.union(one)
-            cut = cut.dropDuplicates(["id"])
-            k = cut.count()
-            if k:
-                for s in sides:
-                    lost = lost.join(ids, F.col(s) == F.col("_gone"), "left_anti")
-                tables[f"edge:{e.name}"] = [self.store.write(f"edge:{e.name}", lost)]
-                changes = changes.unionByName(image("edge", e.name, cut, "delete"))
-                edges += k
+            # Each edge with whether an end of it is gone; only folders that lose an edge are written again.
+            marked = self.store.table(self.base, edge).withColumn("_folder", folder())
+            lost = F.lit(False)
+            for side, end in (("src", e.source), ("dst", e.target)):
+                if end == t.name:
+                    marked = marked.join(ids.withColumnRenamed("_gone", f"_{side}"), F.col(side) == F.col(f"_{side}"), "left")
+                    lost = lost | F.col(f"_{side}").isNotNull()
+            hits = dict(tuple(r) for r in marked.filter(lost).groupBy("_folder").count().collect())
+            if not hits:
+                continue
+            here = marked.filter(F.col("_folder").isin(*hits)) if len(hits) < len(paths) else marked
+            columns = self.store.table(self.base, edge).columns
+            tables[edge] = [*[p for p in paths if p not in hits], self.store.write(edge, here.filter(~lost).select(*columns))]
+            changes = changes.unionByName(image("edge", e.name, here.filter(lost).select(*columns), "delete"))
+            edges += sum(hits.values())
         self.commit(tables, f"delete {t.name}", changes)
         return Affected(n, edges, n)
 

@@ -69,18 +69,28 @@ class Planner:
         for e in [*[p.expr for p in body.projections], *[o.expr for o in body.order]]:
             self.use(e, checked.scope)
         self.use_scope(checked.scope)
+        # The same without what only scores read.
+        whole, self.used = self.used, {}
+        for e in [*[p.expr for p in body.projections], *[o.expr for o in body.order]]:
+            self.use(e, checked.scope, scored=True)
+        for f in checked.scope.filters:
+            self.use(f.left, checked.scope, scored=True)
+            self.use(f.right, checked.scope, scored=True)
+        for n in checked.scope.negations:
+            self.use_scope(n)
+        self.unscored, self.used = self.used, whole
 
     # -- which properties are needed
 
-    def use(self, e, scope: Scope) -> None:
+    def use(self, e, scope: Scope, scored: bool = False) -> None:
         if isinstance(e, Q.PropRef):
             self.used.setdefault(e.var, set()).add(e.prop)
         elif isinstance(e, Q.Var) and e.name in scope.types and e.name not in self.c.query.params:
             self.used.setdefault(e.name, set()).add("*")
-        elif isinstance(e, Q.Call):
+        elif isinstance(e, Q.Call) and not (scored and e.name in ("bm25", "nearest", "rrf")):
             for a in e.args:
                 if not (e.name == "count" and isinstance(a, Q.Var)):
-                    self.use(a, scope)
+                    self.use(a, scope, scored)
 
     def use_scope(self, s: Scope) -> None:
         for b in s.bindings:
@@ -300,6 +310,8 @@ class Planner:
             if k <= 0:
                 raise PlanError("rrf: k must be greater than 0")
             ranks = []
+            # Ranking keeps its rows: only what is still used goes in, not the texts and vectors that were scored.
+            df = materialize(df.select(*[F.col(f"`{c}`") for c in df.columns if c in ids or c.startswith("_score") or self.later(c)]))
             for i, part in enumerate(e.args[:2]):
                 c = F.col(self.scores[part])
                 order = [c.asc_nulls_last() if part.name == "nearest" else c.desc_nulls_last(), *[F.col(f"`{x}`") for x in ids]]
@@ -309,6 +321,12 @@ class Planner:
         self.scores[e] = name
         return df
 
+    def later(self, column: str) -> bool:
+        """Whether a column of the match is used after the scores are there."""
+        var, _, prop = column.partition("::")
+        props = self.unscored.get(var, set())
+        return prop in props or "*" in props
+
     # -- negation
 
     def negate(self, df: DataFrame, n: Scope, bound: dict[str, str], tag: int) -> DataFrame:
@@ -323,7 +341,8 @@ class Planner:
         if len(bound) > 1:  # the rows of one scan differ by their id
             outer = outer.dropDuplicates(keys)
         saved, self.types = self.types, {**bound, **n.types}
-        inner, inner_bound = self.match(n, outer, {v: bound[v] for v in shared})
+        first = self.direct(n, shared, bound) if tag < 10 else None
+        inner, inner_bound = first or self.match(n, outer, {v: bound[v] for v in shared})
         for f in n.filters:
             inner = inner.filter(self.condition(f, inner))
         for i, m in enumerate(n.negations):
@@ -336,6 +355,30 @@ class Planner:
             on = c if on is None else on & c
         return df.join(hit, on, "left_anti")
 
+    def direct(self, n: Scope, shared: list[str], bound: dict[str, str]) -> tuple[DataFrame, dict[str, str]] | None:
+        """The inner block from its own edges, where it hangs on a whole type by one hop: no outer row is joined inside.
+
+        So where the outer block is one scan without conditions, and the shared variable stands in one hop of the inner block
+        and nowhere else there.
+        """
+        s = self.c.scope
+        if len(shared) != 1 or len(bound) != 1 or s.filters or s.hops or any(b.props for b in s.bindings):
+            return None
+        v = shared[0]
+        at = [h for h in n.hops if v in (h.src, h.dst)]
+        rest = Scope(**{**vars(n), "hops": [h for h in n.hops if h not in at]})
+        if len(at) != 1 or (at[0].low, at[0].high) != (1, 1) or at[0].src == at[0].dst or v in self.mentioned(rest):
+            return None
+        h = at[0]
+        forward = h.src == v
+        there, there_type = (h.dst, h.dst_type) if forward else (h.src, h.src_type)
+        df = self.step(h.edge, h.out if forward else not h.out).withColumnsRenamed({"_from": f"{v}::id", "_to": f"{there}::id"})
+        if self.needs_table(there):
+            nodes = self.scan(there, there_type, n).withColumnRenamed(f"{there}::id", "_id")
+            df = df.join(nodes, col(there) == F.col("_id")).drop("_id")
+        rest.bindings = [b for b in n.bindings if b.var != there]
+        return self.match(rest, df, {v: bound[v], there: there_type})
+
     def mentioned(self, s: Scope) -> set[str]:
         out = {b.var for b in s.bindings} | {v for h in s.hops for v in (h.src, h.dst)}
         for f in s.filters:

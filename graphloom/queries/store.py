@@ -122,7 +122,7 @@ def compacted(spark, d):
     """Nations after four mutations, compaction and cleanup."""
     db = _nations(spark, d)
     db.compact()
-    db.cleanup()
+    db.cleanup(older_than=0)
     return db.run(READS, "nations")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import time
 import uuid
 
 from pyspark.sql import SparkSession
@@ -46,6 +47,21 @@ class Files:
         p = self._path(name)
         return self.fs.getContentSummary(p).getLength() if self.fs.exists(p) else 0
 
+    def age(self, name: str) -> float:
+        """Seconds since anything in a file or folder was written."""
+        p, newest = self._path(name), 0
+        if self.fs.exists(p):
+            newest = self.fs.getFileStatus(p).getModificationTime()
+            if self.fs.getFileStatus(p).isDirectory():
+                newest = max([newest, *(s.getModificationTime() for s in self.fs.listStatus(p))])
+        return time.time() - newest / 1000
+
+    def put(self, name: str, value: object) -> None:
+        """Write a JSON file, over one that is there."""
+        out = self.fs.create(self._path(name), True)
+        out.write(bytearray(json.dumps(value, ensure_ascii=False).encode()))
+        out.close()
+
     def create(self, name: str, value: object) -> None:
         """Put a JSON file in place, whole or not at all; ConflictError if it is there already."""
         data = json.dumps(value, ensure_ascii=False).encode()

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.errors import ConstraintError, LoadError
+from graphloom.functions.embedding import embed_cached
 from graphloom.functions.vector import embed_texts
 from graphloom.plans.schema import EdgeType, NodeType, Prop
 from graphloom.plans.types import INTEGERS, PropType
@@ -91,8 +92,8 @@ def _prop(p: Prop, filled: bool = False) -> tuple[Column, Column]:
     return value, F.coalesce(missing, wrong)
 
 
-def _read(rows: DataFrame, own: NodeType | EdgeType, extra: list[Column]) -> DataFrame:
-    """The records of one type with typed properties; LoadError names the first that don't fit."""
+def _typed(rows: DataFrame, own: NodeType | EdgeType, extra: list[Column]) -> DataFrame:
+    """The records of one type with typed properties, and ``_bad``: what doesn't fit."""
     props = list(own.props.values())
     data = F.try_variant_get("v", "$.data", "string")
     wide = rows.select("line", *extra, data.alias("_data"), *[F.try_variant_get("v", f"$.data.{p.name}", "variant").alias(f"p:{p.name}") for p in props])
@@ -104,7 +105,12 @@ def _read(rows: DataFrame, own: NodeType | EdgeType, extra: list[Column]) -> Dat
     kinds = {p.media for p in props}
     parts = [_prop(p, p.name in kinds) for p in props]
     out = wide.withColumns({p.name: value for p, (value, _) in zip(props, parts, strict=True)} | {"_bad": F.coalesce(*msgs, *[m for _, m in parts], F.lit(None).cast("string"))})
-    out = materialize(out.select("line", *[c for c in out.columns if c.startswith("end:")], *own.props, "_bad"))
+    return out.select("line", *[c for c in out.columns if c.startswith("end:")], *own.props, "_bad")
+
+
+def _fitting(out: DataFrame, own: NodeType | EdgeType) -> DataFrame:
+    """What was made, kept; LoadError names the first records that don't fit."""
+    out = materialize(out)
     bad = out.filter("_bad is not null").select("_bad").take(3)
     if bad:
         raise LoadError("; ".join(f"{own.name}: {b[0]}" for b in bad))
@@ -118,20 +124,29 @@ def check_unique(df: DataFrame, t: NodeType) -> None:
             raise ConstraintError(f"{t.name}.{prop}: {twice[0][0]!r} stands more than once")
 
 
-def embed_missing(df: DataFrame, t: NodeType, provider) -> DataFrame:
-    """Vectors of @embed properties that are null, from their source text."""
-    for p in t.props.values():
-        if p.embed:
-            made = embed_texts(p.type.dim, provider)(F.when(F.col(p.name).isNull(), F.col(p.embed)))
-            df = df.withColumn(p.name, F.coalesce(p.name, made))
-            if not p.type.nullable:
-                gap = df.filter(F.col(p.name).isNull()).take(1)
-                if gap:
-                    raise LoadError(f"{t.name}.{p.name}: no text in {p.embed} to embed")
+def embed_column(df: DataFrame, source: str, p: Prop, provider, cache: str | None, model: str) -> DataFrame:
+    """``df`` with null vectors of ``p`` made from the text in ``source``; with ``cache`` each text is embedded once over all loads."""
+    if cache is not None:
+        return embed_cached(df, source, p.name, p.type.dim, provider, cache, model)
+    made = embed_texts(p.type.dim, provider).asNondeterministic()(F.when(F.col(p.name).isNull(), F.col(source)))
+    return df.withColumn(p.name, F.coalesce(p.name, made))
+
+
+def embed_missing(df: DataFrame, t: NodeType, provider, cache: str | None = None, model: str = "") -> DataFrame:
+    """Vectors of @embed properties that are null, from their source text. They are made once, and what reads them reads that."""
+    targets = [p for p in t.props.values() if p.embed]
+    for p in targets:
+        df = embed_column(df, p.embed, p, provider, cache, model)
+    if not targets:
+        return df
+    df = materialize(df)
+    for p in targets:
+        if not p.type.nullable and df.filter(F.col(p.name).isNull()).take(1):
+            raise LoadError(f"{t.name}.{p.name}: no text in {p.embed} to embed")
     return df
 
 
-def load(store: Store, *, path: str | None = None, text: str | None = None, mode: str | None = None, provider=None) -> Version:
+def load(store: Store, *, path: str | None = None, text: str | None = None, mode: str | None = None, provider=None, cache: str | None = None, model: str = "") -> Version:
     """Load records in one commit. The mode is merge by default if a type has a @key, else overwrite."""
     from graphloom.functions.vector import mock_embedding
 
@@ -160,21 +175,21 @@ def load(store: Store, *, path: str | None = None, text: str | None = None, mode
                 tables[f"node:{name}"] = []
             fresh[name] = store.table(base, f"node:{name}") if mode != "overwrite" else store.spark.createDataFrame([], t.spark())
             continue
-        new = _read(records.filter(F.col("type") == name), t, [])
+        new = _fitting(_typed(records.filter(F.col("type") == name), t, []), t)
         if any(p.media for p in t.props.values()):
-            new = import_media(new, t, store.files.root, os.path.dirname(path) if path else None)
-        new = embed_missing(new, t, provider or mock_embedding)
+            new = materialize(import_media(new, t, store.files.root, os.path.dirname(path) if path else None))
+        new = embed_missing(new, t, provider or mock_embedding, cache, model)
         check_unique(new, t)
         ids, n = number(new, next_node, "_new")
         ids, next_node = ids.drop("line"), next_node + n
-        old = store.table(base, f"node:{name}")
         cols = ["id", *t.props]
         if mode == "merge" and t.key:
-            o = old.select(F.col("id").alias("_old"), *[F.col(p).alias(f"o:{p}") for p in t.props])
+            # Only folders that hold one of the keys are written again.
+            kept, hit_paths = store.touched(base, f"node:{name}", ids, [t.key])
+            o = store.part(base, f"node:{name}", hit_paths).select(F.col("id").alias("_old"), *[F.col(p).alias(f"o:{p}") for p in t.props])
             j = ids.join(o, F.col(t.key) == F.col(f"o:{t.key}"), "full_outer")
             hit = F.col("_new").isNotNull()
             out = j.select(F.coalesce("_old", "_new").alias("id"), *[F.when(hit, F.col(p)).otherwise(F.col(f"o:{p}")).alias(p) for p in t.props])
-            kept: list[str] = []
         else:
             out = ids.select(F.col("_new").alias("id"), *t.props)
             kept = base.tables.get(f"node:{name}", []) if mode == "append" else []
@@ -182,36 +197,33 @@ def load(store: Store, *, path: str | None = None, text: str | None = None, mode
                 replaced.add(name)
         written = store.write(f"node:{name}", out.select(*cols))
         tables[f"node:{name}"] = [*kept, written]
-        whole = store.table(Version(0, cat, "", tables, 0, 0, "", "", ""), f"node:{name}")
-        if kept or (mode == "merge" and t.key and len(t.unique) > 1):
+        whole = store.part(base, f"node:{name}", tables[f"node:{name}"])
+        if (kept and mode == "append") or (mode == "merge" and t.key and len(t.unique) > 1):
             check_unique(whole, t)
         fresh[name] = whole
     for name, e in cat.edges.items():
         said = [x for _, x in present if x is not None and cat.edge(x) is e]
-        old = store.table(base, f"edge:{name}") if mode != "overwrite" else None
         gone = {e.source, e.target} & replaced
         if not said and not gone:
             if mode == "overwrite":
                 tables[f"edge:{name}"] = []
             continue
-        parts = []
-        if said:
-            new = _edges(records.filter(F.col("type").isNull() & F.col("edge").isin(*said)), e, cat, fresh)
-            new, n = number(new, next_edge)
-            parts.append(new)
-            next_edge += n
-        if old is not None and not gone:
-            parts.append(old.withColumn("line", F.lit(-1).cast("bigint")))
-        if not parts:
-            tables[f"edge:{name}"] = []
+        kept: list[str] = base.tables.get(f"edge:{name}", []) if mode != "overwrite" and not gone else []
+        if not said:
+            tables[f"edge:{name}"] = kept
             continue
-        both = reduce(lambda a, b: a.unionByName(b), parts)
-        # An edge that is there already keeps its id and takes the new properties.
-        last = F.max_by(F.struct(*e.props), "line").alias("p") if e.props else F.lit(1).alias("p")
-        both = both.groupBy("src", "dst").agg(F.min_by("id", "line").alias("id"), last)
-        out = both.select("id", "src", "dst", *[F.col("p")[p].alias(p) for p in e.props])
-        written = store.write(f"edge:{name}", out)
-        tables[f"edge:{name}"] = [written]
+        new = _edges(records.filter(F.col("type").isNull() & F.col("edge").isin(*said)), e, cat, fresh)
+        new, n = number(new, next_edge)
+        next_edge += n
+        if kept:
+            # An edge that is there already keeps its id and takes the new properties; only folders with one are written again.
+            kept, hit_paths = store.touched(base, f"edge:{name}", new, ["src", "dst"])
+            if hit_paths:
+                old = store.part(base, f"edge:{name}", hit_paths).withColumn("line", F.lit(-1).cast("bigint"))
+                last = F.max_by(F.struct(*e.props), "line").alias("p") if e.props else F.lit(1).alias("p")
+                both = new.unionByName(old).groupBy("src", "dst").agg(F.min_by("id", "line").alias("id"), last)
+                new = both.select("id", "src", "dst", *[F.col("p")[p].alias(p) for p in e.props])
+        tables[f"edge:{name}"] = [*kept, store.write(f"edge:{name}", new.select("id", "src", "dst", *e.props))]
     return store.commit(base, tables, summary=f"load {mode}", next_node=next_node, next_edge=next_edge)
 
 
@@ -221,17 +233,17 @@ def _edges(rows: DataFrame, e: EdgeType, cat, nodes: dict[str, DataFrame]) -> Da
     for t in ends.values():
         if t.key is None:
             raise LoadError(f"{e.name}: {t.name} has no @key to refer to")
-    new = _read(rows, e, [F.try_variant_get("v", f"$.{side}", "string").alias(f"end:{side}") for side in ends])
+    new = _typed(rows, e, [F.try_variant_get("v", f"$.{side}", "string").alias(f"end:{side}") for side in ends])
     for side, t in ends.items():
         keys = nodes[t.name].select(F.col("id").alias(f"_{side}"), F.col(t.key).cast("string").alias("_key"))
         new = new.join(keys, F.col(f"end:{side}") == F.col("_key"), "left").drop("_key")
-    new = materialize(new)
-    lost = new.filter("_from is null or _to is null").select("end:from", "end:to").take(1)
-    if lost:
-        raise LoadError(f"{e.name}: no such endpoint in {lost[0][0]} -> {lost[0][1]}")
     last = F.max_by(F.struct(*e.props), "line").alias("p") if e.props else F.lit(1).alias("p")
-    one = new.groupBy(F.col("_from").alias("src"), F.col("_to").alias("dst")).agg(F.max("line").alias("line"), last)
-    return materialize(one.select("line", "src", "dst", *[F.col("p")[p].alias(p) for p in e.props]))
+    lost = F.max(F.when(F.col("_from").isNull() | F.col("_to").isNull(), F.struct(F.col("end:from"), F.col("end:to")))).alias("_lost")
+    one = _fitting(new.groupBy(F.col("_from").alias("src"), F.col("_to").alias("dst")).agg(F.max("line").alias("line"), last, lost, F.max("_bad").alias("_bad")), e)
+    gap = one.filter("_lost is not null").select("_lost").take(1)
+    if gap:
+        raise LoadError(f"{e.name}: no such endpoint in {gap[0][0][0]} -> {gap[0][0][1]}")
+    return one.select("line", "src", "dst", *[F.col("p")[p].alias(p) for p in e.props])
 
 
 def export(store: Store, v: Version | None = None, *, embeddings: bool = True, ids: bool = False) -> DataFrame:

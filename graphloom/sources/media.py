@@ -15,6 +15,7 @@ import uuid
 from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -55,29 +56,37 @@ def choose(hint: str | None, found: str | None, name: str | None) -> str:
 
 
 def store(root: str, data: bytes) -> str:
+    """Keep bytes once under their hash, in the graph's own folder on whatever file system it lies."""
     digest = hashlib.sha256(data).hexdigest()
-    at = f"{root}/{digest}"
-    if not os.path.exists(at):
-        os.makedirs(root, exist_ok=True)
+    files, base = system(root)
+    at = f"{base}/{digest}"
+    if files.get_file_info(at).type == fs.FileType.NotFound:
+        files.create_dir(base, recursive=True)
         tmp = f"{at}.{uuid.uuid4().hex}.tmp"
-        with open(tmp, "wb") as f:
+        with files.open_output_stream(tmp) as f:
             f.write(data)
-        os.replace(tmp, at)
+        files.move(tmp, at)
     return PREFIX + digest
 
 
+def system(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path, and the path in it."""
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), os.path.abspath(path))
+
+
 def resolve(root: str, base: str | None, value: str, hint: str | None) -> tuple[str, str]:
     """(uri, mime) of a media value."""
     kind, _, rest = value.partition(":")
     if kind == "@file":
-        path = rest if os.path.isabs(rest) else os.path.join(base, rest) if base else None
+        path = rest if os.path.isabs(rest) or "://" in rest else os.path.join(base, rest) if base else None
         if path is None:
             raise LoadError(f"{value}: a relative path needs a source file")
         try:
-            with open(path, "rb") as f:
+            files, at = system(path)
+            with files.open_input_stream(at) as f:
                 data = f.read()
         except OSError as e:
-            raise LoadError(f"{value}: {e.strerror}") from None
+            raise LoadError(f"{value}: {e}") from None
         return store(root, data), choose(hint, sniff(data), path)
     if kind == "@base64":
         try:
@@ -100,8 +109,7 @@ def resolve(root: str, base: str | None, value: str, hint: str | None) -> tuple[
 def import_media(df: DataFrame, t: NodeType, db: str, base: str | None) -> DataFrame:
     """Replace media values by their URIs and fill their kinds; LoadError names the first that fail."""
     result = StructType([StructField(c, StringType()) for c in ("uri", "mime", "error")])
-    root = f"{urlparse(db).path if '://' in db or db.startswith('file:') else db}/blobs"
-    base = urlparse(base).path if base and base.startswith("file:") else base
+    root = f"{db}/blobs"
 
     @F.arrow_udf(result)
     def take(values: pa.Array, hints: pa.Array) -> pa.Array:
@@ -127,5 +135,6 @@ def import_media(df: DataFrame, t: NodeType, db: str, base: str | None) -> DataF
 def read_blob(db: str, uri: str) -> bytes:
     if not uri.startswith(PREFIX):
         raise StorageError(f"{uri} is no stored blob")
-    with open(f"{db}/blobs/{uri[len(PREFIX) :]}", "rb") as f:
+    files, at = system(f"{db}/blobs/{uri[len(PREFIX) :]}")
+    with files.open_input_stream(at) as f:
         return f.read()

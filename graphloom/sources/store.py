@@ -8,9 +8,9 @@ from __future__ import annotations
 
 import datetime as dt
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.errors import ConflictError, StorageError
@@ -24,6 +24,11 @@ CHANGE = (
 )
 
 
+def folder() -> Column:
+    """The folder of a table that a row lies in."""
+    return F.regexp_extract("_metadata.file_path", r"/(data/[^/]+/[^/]+)/[^/]+$", 1)
+
+
 @dataclass(frozen=True)
 class Version:
     number: int
@@ -92,6 +97,18 @@ class Store:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*paths)
 
+    def part(self, v: Version, name: str, paths: list[str]) -> DataFrame:
+        """Some folders of a table."""
+        return self.table(replace(v, tables={name: paths}), name)
+
+    def touched(self, v: Version, name: str, rows: DataFrame, on: list[str]) -> tuple[list[str], list[str]]:
+        """The table's folders without and with rows that have the values ``on`` of some row of ``rows``."""
+        paths = v.tables.get(name, [])
+        if not paths:
+            return [], []
+        hits = {r[0] for r in self.table(v, name).select(*on, folder().alias("_folder")).join(rows.select(*on), on, "left_semi").select("_folder").distinct().collect()}
+        return [p for p in paths if p not in hits], [p for p in paths if p in hits]
+
     def graph(self, v: Version | None = None) -> Graph:
         v = v or self.version()
         nodes = Lazy({n: lambda n=n: self.table(v, f"node:{n}") for n in v.catalog.nodes})
@@ -131,18 +148,22 @@ class Store:
         new = Version(n, parse_schema(schema or base.schema), schema or base.schema, {**base.tables, **tables}, next_node or base.next_node, next_edge or base.next_edge, summary, "", f"tx-{uuid.uuid4().hex[:10]}-{n}")
         if changes is None:
             changes = self.diff(base, new, [t for t in tables])
-        if changes is not None:
-            stamp = F.lit(dt.datetime.now(dt.UTC).replace(tzinfo=None).isoformat(sep=" ", timespec="milliseconds")).cast("timestamp_ntz")
-            log = changes.select(
-                F.lit(n).cast("bigint").alias("graph_version"), F.lit(new.tx).alias("tx_id"), stamp.alias("committed_at"), "change_kind", "entity_kind", "type_name",
-                F.concat_ws(".", "entity_kind", F.lower("type_name")).alias("table_id"), F.col("entity_id").alias("rowid"), "entity_id", "logical_key", "row",
-                F.lit(base.number).cast("bigint").alias("previous_graph_version"),
-            )
-            # A log folder counts only once its version's manifest is there.
-            log.write.parquet(self.files.url(f"log/{n:012d}-{new.tx}"))
+        if changes is None:
+            changes = self.no_changes()
+        stamp = F.lit(dt.datetime.now(dt.UTC).replace(tzinfo=None).isoformat(sep=" ", timespec="milliseconds")).cast("timestamp_ntz")
+        log = changes.select(
+            F.lit(n).cast("bigint").alias("graph_version"), F.lit(new.tx).alias("tx_id"), stamp.alias("committed_at"), "change_kind", "entity_kind", "type_name",
+            F.concat_ws(".", "entity_kind", F.lower("type_name")).alias("table_id"), F.col("entity_id").alias("rowid"), "entity_id", "logical_key", "row",
+            F.lit(base.number).cast("bigint").alias("previous_graph_version"),
+        )
+        # Each commit writes a log, if an empty one. It counts only once its version's manifest names its tx.
+        log.write.parquet(self.files.url(f"log/{n:012d}-{new.tx}"))
         self._put(n, new.schema, new.tables, new.next_node, new.next_edge, summary, new.tx)
         return new
 
+    def no_changes(self) -> DataFrame:
+        return self.spark.createDataFrame([], "change_kind string, entity_kind string, type_name string, entity_id bigint, logical_key string, row string")
+
     def diff(self, old: Version, new: Version, names: list[str]) -> DataFrame | None:
         """What changed in the named tables: folders in both versions are left out, the rest is joined by id."""
         out = None
@@ -152,23 +173,37 @@ class Store:
             only = lambda v: Version(v.number, v.catalog, v.schema, {name: [p for p in v.tables.get(name, []) if p not in both]}, 0, 0, "", "", "")  # noqa: B023, E731
             if t not in (old.catalog.nodes if kind == "node" else old.catalog.edges) or t not in (new.catalog.nodes if kind == "node" else new.catalog.edges):
                 continue
-            a, b = self.table(only(old), name), self.table(only(new), name)
-            one = change_rows(kind, t, a, b)
+            gone, come = only(old), only(new)
+            if not gone.tables[name]:
+                one = image(kind, t, self.table(come, name), "insert")
+            elif not come.tables[name]:
+                one = image(kind, t, self.table(gone, name), "delete")
+            else:
+                one = change_rows(kind, t, self.table(gone, name), self.table(come, name))
             out = one if out is None else out.unionByName(one)
         return out
 
     def log(self, low: int, high: int | None = None) -> DataFrame:
         """The change rows of versions above ``low`` up to ``high`` (at most the committed one)."""
-        numbers = set(self.numbers())
-        top = max(numbers)
-        high = top if high is None else min(high, top)
-        paths = []
-        for name in self.files.list("log"):
-            n, _, tx = name.partition("-")
-            if low < int(n) <= high and int(n) in numbers and self.version(int(n)).tx == tx:
-                paths.append(self.files.url(f"log/{name}"))
+        numbers = self.numbers()
+        high = numbers[-1] if high is None else min(high, numbers[-1])
+        if low + 1 < numbers[0] and numbers[0] > 0:
+            raise StorageError(f"changes are kept from version {numbers[0]} on")
+        paths = [self.files.url(f"log/{x}") for x in self.log_folders(low, high)]
         return self.spark.read.schema(CHANGE).parquet(*paths) if paths else self.spark.createDataFrame([], CHANGE)
 
+    def log_folders(self, low: int, high: int) -> list[str]:
+        """The logs of committed versions. One that stands alone is the winner's, whose log was written before its manifest."""
+        by: dict[int, list[str]] = {}
+        for name in self.files.list("log"):
+            n = int(name.partition("-")[0])
+            if low < n <= high:
+                by.setdefault(n, []).append(name)
+        out = []
+        for n, names in sorted(by.items()):
+            out += names if len(names) == 1 else [x for x in names if x.partition("-")[2] == self.version(n).tx]
+        return out
+
 
 def logical_key(kind: str):
     if kind == "node":

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from graphloom.errors import GraphError
+from graphloom.sources.files import Files
 from graphloom.sources.store import CHANGE, Store
 
 ORDER = ["graph_version", "entity_kind", "type_name", "rowid", "logical_key", "change_kind"]
@@ -26,28 +26,36 @@ def window(store: Store, *, since: int | None = None, first: int | None = None,
 
 
 def materialize(store: Store, target: str, *, min_new_rows: int = 0, force: bool = False) -> int:
-    """Append what is new of the feed to a table at ``target``; the number of new rows (0: too few to bother).
+    """Append what is new of the feed to the table ``target``/data; the number of new rows (0: too few to bother).
 
-    A stream over the log's folders with a checkpoint beside the target: each run takes what came since the last one,
-    once, also if a run dies. Folders of versions that were never committed are left out by a join with the manifests.
+    A stream over the manifests with a checkpoint beside the target: a manifest is the commit, so a log that is written but
+    not committed yet isn't seen until it is. Each batch of manifests reads the logs they name and overwrites its own folder,
+    so each run takes what came since the last one, once, also if a run dies. A target that has fallen behind the versions
+    that cleanup has kept raises StorageError instead of missing changes.
     """
-    spark = store.spark
-    if not store.files.list("log"):
+    spark, data = store.spark, Files(store.spark, target)
+    before = max((int(n.partition("=")[2]) for n in data.list("upto")), default=0)
+    newest = store.numbers()[-1]
+    if newest == before:
+        return 0
+    # Raises where versions in between were cleaned up.
+    new = store.log(before)
+    if not force and min_new_rows and new.limit(min_new_rows).count() < min_new_rows:
         return 0
-    if not force and min_new_rows:
-        done = spark.read.parquet(f"{target}/data").agg(F.max("graph_version")).first()[0] if store.files.fs.exists(store.files._path("")) and _there(store, f"{target}/data") else 0
-        if store.log(done or 0).limit(min_new_rows).count() < min_new_rows:
-            return 0
-    committed = {(n, store.version(n).tx) for n in store.numbers()}
-    names = spark.createDataFrame([(n, tx) for n, tx in committed], "graph_version bigint, tx_id string")
-    stream = spark.readStream.schema(CHANGE).option("recursiveFileLookup", "true").parquet(store.files.url("log"))
-    kept = stream.join(F.broadcast(names), ["graph_version", "tx_id"], "left_semi")
-    before = spark.read.parquet(f"{target}/data").count() if _there(store, f"{target}/data") else 0
-    q = kept.writeStream.format("parquet").option("path", f"{target}/data").option("checkpointLocation", f"{target}/checkpoint").trigger(availableNow=True).outputMode("append").start()
-    q.awaitTermination()
-    return spark.read.parquet(f"{target}/data").count() - before
-
 
-def _there(store: Store, url: str) -> bool:
-    p = store.files.jvm.org.apache.hadoop.fs.Path(f"{url}/_spark_metadata")
-    return p.getFileSystem(store.files.conf).exists(p)
+    def take(batch: DataFrame, number: int) -> None:
+        versions = sorted(r[0] for r in batch.select("version").collect())
+        if not versions:
+            return
+        folders = [x for n in versions for x in store.log_folders(n - 1, n)]
+        where = data.url(f"data/batch={number:08d}")
+        if folders:
+            spark.read.schema(CHANGE).parquet(*[store.files.url(f"log/{x}") for x in folders]).write.mode("overwrite").parquet(where)
+        data.put(f"upto/version={versions[-1]:012d}", {"batch": number})
+
+    manifests = spark.readStream.schema("version bigint").option("pathGlobFilter", "*.json").option("maxFilesPerTrigger", 1000).json(store.files.url("manifests"))
+    done = {*data.list("data")}
+    q = manifests.writeStream.foreachBatch(take).option("checkpointLocation", f"{target}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    fresh = [data.url(f"data/{x}") for x in data.list("data") if x not in done]
+    return spark.read.schema(CHANGE).parquet(*fresh).count() if fresh else 0
