@@ -3,9 +3,9 @@
 Method: partition-local compaction. Per dataset (a partition), the live fragments are measured in their raw rows; only
 datasets with two or more fragments under their target, and fragments of which more than a tenth is deleted, are
 touched. The chosen fragments are put in order and cut where the running sum of their live rows passes the target, and their
-rows are rewritten by dynamic overwrite into partitions (dataset, generation, fragment) of the next generation, so that a
-dataset that needs nothing is neither read nor written, a job that is run again overwrites its own partitions only, and
-readers keep their files. Before the commit the records on disk are compared with those before. The commit names the
+rows are rewritten by dynamic overwrite into partitions (dataset, generation) of the next generation, so that a dataset that
+needs nothing is neither read nor written, a job that is run again overwrites its own partitions only, and readers keep
+their files. A file holds one fragment, or several small ones up to about ``ROWS_A_FILE`` rows, sorted by fragment. Before the commit the records on disk are compared with those before. The commit names the
 snapshot it began from: it fails if another writer was faster.
 
 Which fragments are live, with their sizes, stands in tables (a snapshot each); the driver sees no list of files.
@@ -37,7 +37,9 @@ from graphloom.util import chunk_of, cuts, small_or_plain
 KEY = ["table_id", "fragment_id"]
 FRAGMENT = [*KEY, "generation"]
 DELETED_SHARE = 10
-DATA = "row_id bigint, is_deleted boolean, payload string, _t string, _g bigint, _f bigint"
+DATA = "fragment_id bigint, row_id bigint, is_deleted boolean, payload string, _t string, _g bigint"
+TINY = "row_id bigint, is_deleted boolean, payload string, _t string, _f bigint"
+ROWS_A_FILE = 1_000_000
 LIVE = "table_id string, fragment_id bigint, generation bigint, size bigint, deleted bigint"
 
 
@@ -87,9 +89,10 @@ def assign(go: DataFrame, *, chunk_fragments: int = 4096) -> DataFrame:
 class FragmentStore:
     """Fragments under ``root`` on any file system that Spark reaches.
 
-    ``data/_t=<dataset>/_g=<generation>/_f=<fragment>`` holds the rows, ``snapshots/<id>`` the tables ``live`` (LIVE),
-    ``heads`` (the next fragment id of each dataset) and ``removed``, and ``commits/<n>.json`` names snapshot n.
-    ``raw``: rows that lie elsewhere (table_id, fragment_id, row_id, is_deleted, payload); they are generation 0.
+    ``data/_t=<dataset>/_g=<generation>`` holds the rows, ``snapshots/<id>`` the tables ``live`` (LIVE), ``heads`` (the next
+    fragment id of each dataset) and ``removed``, and ``commits/<n>.json`` names snapshot n. Generation 0 are the rows as they
+    came: ``raw`` (table_id, fragment_id, row_id, is_deleted, payload), or files of one fragment each in
+    ``tiny/_t=<dataset>/_f=<fragment>``.
     """
 
     def __init__(self, spark: SparkSession, root: str, raw: DataFrame | None = None):
@@ -122,11 +125,12 @@ class FragmentStore:
         parts = []
         # One number a compaction; so only the partitions of these generations are listed and read.
         generations = [r[0] for r in live.select("generation").distinct().collect()]
-        if self.raw is not None and 0 in generations:
-            parts.append(self.raw.withColumn("generation", F.lit(0).cast("bigint")).select(*cols))
+        if 0 in generations:
+            came = self.raw if self.raw is not None else self.spark.read.schema(TINY).parquet(self.files.url("tiny")).withColumnsRenamed({"_t": "table_id", "_f": "fragment_id"})
+            parts.append(came.withColumn("generation", F.lit(0).cast("bigint")).select(*cols))
         if any(generations):
             stored = self.spark.read.schema(DATA).parquet(self.files.url("data")).filter(F.col("_g").isin(generations))
-            parts.append(stored.withColumnsRenamed({"_t": "table_id", "_f": "fragment_id", "_g": "generation"}).select(*cols))
+            parts.append(stored.withColumnsRenamed({"_t": "table_id", "_g": "generation"}).select(*cols))
         if not parts:
             return self.spark.createDataFrame([], "table_id string, fragment_id bigint, generation bigint, row_id bigint, is_deleted boolean, payload string")
         names = small_or_plain(live.select(*FRAGMENT), 200_000)
@@ -142,20 +146,15 @@ class FragmentStore:
             return r.groupBy("table_id", "row_id").agg(one).select("table_id", "b.fragment_id", "row_id", "b.payload")
         return r.select(*KEY, "row_id", "payload")
 
-    def _write(self, rows: DataFrame, generation: int) -> None:
-        """Each (table_id, fragment_id) as a partition, in a file of its own; only these partitions are overwritten."""
-        out = rows.select("row_id", "is_deleted", "payload", F.col("table_id").alias("_t"), F.lit(generation).cast("bigint").alias("_g"), F.col("fragment_id").alias("_f"))
-        out = out.repartition("_t", "_f").sortWithinPartitions("_t", "_f", "row_id")
-        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_t", "_g", "_f").parquet(self.files.url("data"))
-
     def adopt(self, datasets: DataFrame, fragments: DataFrame, rows: DataFrame | None = None) -> int:
-        """The first snapshot: the live fragments as they are, their rows left in place, or written as files if ``rows`` are given."""
+        """The first snapshot: the live fragments as they are, their rows left in place, or each written as a file if ``rows`` are given."""
         live = measured(datasets, fragments, self.raw if rows is None else rows)
         if rows is not None:
-            self._write(rows.join(live.select(*KEY), KEY, "left_semi"), 1)
+            out = rows.join(live.select(*KEY), KEY, "left_semi").select("row_id", "is_deleted", "payload", F.col("table_id").alias("_t"), F.col("fragment_id").alias("_f"))
+            out.repartition("_t", "_f").sortWithinPartitions("_t", "_f").write.mode("overwrite").partitionBy("_t", "_f").parquet(self.files.url("tiny"))
         heads = fragments.filter("table_id is not null").groupBy("table_id").agg((F.coalesce(F.max("fragment_id"), F.lit(-1)) + 1).alias("next_id"))
         name = uuid.uuid4().hex
-        self._save(name, live=live.select(*KEY, F.lit(0 if rows is None else 1).cast("bigint").alias("generation"), "size", "deleted"), heads=heads, removed=live.select(*KEY).limit(0))
+        self._save(name, live=live.select(*KEY, F.lit(0).cast("bigint").alias("generation"), "size", "deleted"), heads=heads, removed=live.select(*KEY).limit(0))
         return self.commit(-1, name, repeated=True)
 
     def compact(self, datasets: DataFrame) -> dict[str, int]:
@@ -163,7 +162,9 @@ class FragmentStore:
         base = self.version()
         live, heads = self.table("live", base), self.table("heads", base)
         targets = datasets.filter("table_id is not null").groupBy("table_id").agg(F.max("target_rows_per_fragment").alias("target"))
-        name, generation = uuid.uuid4().hex, base + 2
+        name = uuid.uuid4().hex
+        # A number of this attempt alone: rivals never write to the same partitions.
+        generation = (base + 1 << 32) + uuid.uuid4().int % (1 << 32)
         # Written once, the choice is what everything after reads, also if a part runs again.
         self._save(name, removed=chosen(live.join(targets, "table_id")))
         removed = self.spark.read.parquet(self.files.url(f"snapshots/{name}/removed"))
@@ -180,10 +181,13 @@ class FragmentStore:
         # A record in several fragments is taken from the one that stays (and isn't written), else from the lowest.
         payload = F.when(F.col("goes"), F.col("payload"))
         one = r.groupBy("table_id", "row_id").agg(F.min(F.struct("goes", "fragment_id", "start", "target", payload.alias("payload"))).alias("b")).filter("b.goes")
-        moved = one.select("table_id", F.floor(F.col("b.start") / F.col("b.target")).alias("n"), "row_id", F.lit(False).alias("is_deleted"), F.col("b.payload").alias("payload"))
-        self._write(moved.join(heads, "table_id").withColumn("fragment_id", F.col("next_id") + F.col("n")), generation)
+        n = F.floor(F.col("b.start") / F.col("b.target"))
+        moved = one.select("table_id", n.alias("n"), F.floor(n * F.col("b.target") / ROWS_A_FILE).alias("file"), "row_id", "b.payload").join(heads, "table_id")
+        out = moved.select((F.col("next_id") + F.col("n")).alias("fragment_id"), "row_id", F.lit(False).alias("is_deleted"), "payload", F.col("table_id").alias("_t"), F.lit(generation).cast("bigint").alias("_g"), "file")
+        out = out.repartition("_t", "file").drop("file").sortWithinPartitions("_t", "_g", "fragment_id", "row_id")
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_t", "_g").parquet(self.files.url("data"))
         stored = self.spark.read.schema(DATA).parquet(self.files.url("data")).filter(F.col("_g") == generation)
-        self._save(name, added=stored.groupBy(F.col("_t").alias("table_id"), F.col("_f").alias("fragment_id"), F.col("_g").alias("generation")).agg(F.count("*").alias("size"), F.lit(0).cast("bigint").alias("deleted")))
+        self._save(name, added=stored.groupBy(F.col("_t").alias("table_id"), "fragment_id", F.col("_g").alias("generation")).agg(F.count("*").alias("size"), F.lit(0).cast("bigint").alias("deleted")))
         added = self.spark.read.parquet(self.files.url(f"snapshots/{name}/added"))
         repeated = self._check(old, self.rows(stays), stored)
         top = added.groupBy("table_id").agg((F.max("fragment_id") + 1).alias("top"))
