@@ -15,6 +15,12 @@ def p1_found(spark, d):
     return replay.current(read(spark, d, "cdc_log"), read(spark, d, "tx_catalog")).select("type_name", "entity_key", "db_version", "seq_in_tx")
 
 
+def p1_columns(spark, d):
+    """The columns of every living entity as its partial updates have left them."""
+    state = replay.current(read(spark, d, "cdc_log"), read(spark, d, "tx_catalog"))
+    return state.select("type_name", "entity_key", F.explode("columns").alias("name", "value"))
+
+
 def p2_found(spark, d):
     nodes = orphans.node_rows(read(spark, d, "character_nodes"), read(spark, d, "canon_nodes"))
     return orphans.find_orphans(read(spark, d, "edges"), read(spark, d, "edge_types"), nodes)
@@ -67,7 +73,7 @@ def p4_files(spark, d):
     return _datasets(store)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_report, p3_found, p4_found, p4_rewritten, p4_files)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_columns, p2_found, p2_report, p3_found, p4_found, p4_rewritten, p4_files)}
 
 _P2 = """
 WITH nodes AS (
@@ -106,6 +112,20 @@ WITH e AS (
   WHERE entity_key IS NOT NULL AND tx_id IN (SELECT tx_id FROM tx_catalog) AND lower(trim(op)) IN ('insert', 'update', 'delete')),
 r AS (SELECT *, row_number() OVER (PARTITION BY type_name, entity_key ORDER BY db_version DESC, seq_in_tx DESC) AS n FROM e)
 SELECT type_name, entity_key, db_version, seq_in_tx FROM r WHERE n = 1 AND op <> 'delete'
+""",
+    "p1_columns": """
+WITH e AS (
+  SELECT type_name, regexp_replace(entity_key, '\\s+', '', 'g') AS entity_key, db_version::HUGEINT * 4294967296 + seq_in_tx AS pos, lower(trim(op)) AS op,
+    CASE WHEN json_valid(payload) AND json_type(payload) = 'OBJECT' THEN payload::JSON END AS p, arrival_no FROM cdc_log
+  WHERE entity_key IS NOT NULL AND tx_id IN (SELECT tx_id FROM tx_catalog) AND lower(trim(op)) IN ('insert', 'update', 'delete')),
+u AS (SELECT *, row_number() OVER (PARTITION BY type_name, entity_key, pos ORDER BY arrival_no) AS n FROM e),
+s AS (
+  SELECT type_name, entity_key, pos, op, CASE WHEN list_contains(json_keys(p), 'after') AND len(list_filter(json_keys(p), lambda k: k NOT IN ('before', 'after'))) = 0 THEN CASE WHEN json_type(p->'after') = 'OBJECT' THEN p->'after' END ELSE p END AS p,
+    max(CASE WHEN op <> 'update' THEN pos END) OVER (PARTITION BY type_name, entity_key) AS reset, arg_max(op, pos) OVER (PARTITION BY type_name, entity_key) AS last_op
+  FROM u WHERE n = 1),
+k AS (SELECT type_name, entity_key, pos, p, unnest(json_keys(p)) AS name FROM s WHERE last_op <> 'delete' AND op <> 'delete' AND (reset IS NULL OR pos >= reset)),
+v AS (SELECT type_name, entity_key, name, json_extract(p, '$."' || name || '"')::VARCHAR AS value, row_number() OVER (PARTITION BY type_name, entity_key, name ORDER BY pos DESC) AS n FROM k)
+SELECT type_name, entity_key, name, value FROM v WHERE n = 1
 """,
     "p2_found": _P2,
     "p2_report": f"SELECT edge_name, period_month, side, reason, count(*) AS broken_ends FROM ({_P2}) GROUP BY ALL",
