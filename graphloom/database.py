@@ -20,7 +20,8 @@ from graphloom.plans import query as Q
 from graphloom.plans.params import bind
 from graphloom.plans.planner import Graph, plan
 from graphloom.plans.typecheck import Checked, check, check_mutation
-from graphloom.sources import jsonl
+from graphloom.sources import index, jsonl
+from graphloom.sources.index import Indexes
 from graphloom.sources.store import Store, Version
 from graphloom.streaming import feed
 
@@ -39,9 +40,10 @@ class Prepared:
     query: Q.Query
     checked: Checked
     graph: Graph
+    approximate: bool | float = False
 
     def run(self, params: dict | None = None, *, js: bool = False) -> DataFrame:
-        return plan(self.graph, self.checked, bind(self.query.params, params, js=js), utc_now(), self.db.embed_query)
+        return plan(self.graph, self.checked, bind(self.query.params, params, js=js), utc_now(), self.db.embed_query, self.approximate)
 
 
 @dataclass(frozen=True)
@@ -108,21 +110,24 @@ class GraphDB:
     def embed_query(self, text: str, dim: int, role: str = "query") -> list[float]:
         return self.provider(text, dim, role=role) if self.provider is mock_embedding else self.provider(text, dim)
 
-    def prepare(self, source: str, name: str | None = None, version: int | None = None) -> Prepared:
+    def prepare(self, source: str, name: str | None = None, version: int | None = None, *, approximate: bool | float = False) -> Prepared:
         q = self.query(source, name)
         if isinstance(q.body, Q.Mutation):
             raise PlanError(f"{q.name} changes the graph")
         v = self.store.version(version)
-        return Prepared(self, q, check(v.catalog, q), self.store.graph(v))
+        g = self.store.graph(v)
+        g.indexes = Indexes(self.store, v)
+        return Prepared(self, q, check(v.catalog, q), g, approximate)
 
-    def run(self, source: str, name: str | None = None, params: dict | None = None, *, js: bool = False, retries: int = 0) -> DataFrame | Affected:
+    def run(self, source: str, name: str | None = None, params: dict | None = None, *, js: bool = False, retries: int = 0, approximate: bool | float = False) -> DataFrame | Affected:
         """Run a query: a DataFrame for reads, the numbers of affected rows for mutations.
 
         A mutation that loses against another writer raises ConflictError, or is tried again up to ``retries`` times.
+        ``approximate``: a plain ``nearest`` may answer from the vector index, if there is one; a number is the share of its cells read.
         """
         q = self.query(source, name)
         if isinstance(q.body, Q.Read):
-            return self.prepare(source, q.name).run(params, js=js)
+            return self.prepare(source, q.name, approximate=approximate).run(params, js=js)
         m = check_mutation(self.store.version().catalog, q)
         bound = bind(q.params, params, js=js)
         while True:
@@ -236,6 +241,10 @@ class GraphDB:
             self.store.commit(base, tables, summary="embed")
         return n
 
+    def index(self, type_name: str, prop: str) -> dict:
+        """Make the index of a text or vector property anew. It stays right, and loses use, as the table changes."""
+        return index.build(self.store, type_name, prop)
+
     def compact(self, *, min_folders: int = 2, target_bytes: int = 128 << 20) -> dict[str, int]:
         """Rewrite tables that lie in several folders as files of about ``target_bytes``, as one commit without changes."""
         base = self.store.version()

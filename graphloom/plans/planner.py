@@ -50,6 +50,8 @@ class Graph:
     nodes: dict[str, DataFrame]
     edges: dict[str, DataFrame]
     simple: set[str] = field(default_factory=set)
+    #: Indexes of the tables: ``text(type, prop, tokens)`` and ``vectors(type, prop, target, k)`` give narrower tables, or None.
+    indexes: object = None
 
     def pairs(self, edge: str) -> DataFrame:
         p = self.edges[edge].select("src", "dst")
@@ -61,8 +63,9 @@ def col(var: str, prop: str = "id") -> Column:
 
 
 class Planner:
-    def __init__(self, graph: Graph, checked: Checked, params: dict, now: dt.datetime, embed=vector.mock_embedding):
+    def __init__(self, graph: Graph, checked: Checked, params: dict, now: dt.datetime, embed=vector.mock_embedding, approximate: bool | float = False):
         self.g, self.c, self.params, self.now, self.embed = graph, checked, params, now, embed
+        self.approximate, self.narrowed = approximate, {}
         self.scores: dict[object, str] = {}
         body: Q.Read = checked.query.body
         self.used: dict[str, set[str]] = {}
@@ -108,7 +111,8 @@ class Planner:
 
     def scan(self, var: str, type_name: str, s: Scope) -> DataFrame:
         t = self.g.catalog.nodes[type_name]
-        df = self.g.nodes[type_name].select(*[F.col(c).alias(f"{var}::{c}") for c in ("id", *t.props)])
+        df = self.narrowed.get(var, None)
+        df = (self.g.nodes[type_name] if df is None else df).select(*[F.col(c).alias(f"{var}::{c}") for c in ("id", *t.props)])
         for b in s.bindings:
             if b.var == var:
                 for prop, value in b.props:
@@ -294,12 +298,7 @@ class Planner:
     def score(self, df: DataFrame, e: Q.Call, ids: list[str]) -> DataFrame:
         name = f"_score{len(self.scores)}"
         if e.name == "nearest":
-            q = e.args[1]
-            target = [x.value for x in q.value] if isinstance(q, Q.Lit) and q.kind == "List" else self.params[q.name] if isinstance(q, Q.Var) else q.value
-            if isinstance(target, str):
-                dim = self.g.catalog.nodes[self.types[e.args[0].var]].props[e.args[0].prop].type.dim
-                target = self.embed(target, dim, role="query")
-            df = df.withColumn(name, vector.cosine_distance(self.value(e.args[0], df), [float(x) for x in target]))
+            df = df.withColumn(name, vector.cosine_distance(self.value(e.args[0], df), self.target(e)))
         elif e.name == "bm25":
             q = self.constant_text(e.args[1])
             if q is None:
@@ -327,6 +326,37 @@ class Planner:
         props = self.unscored.get(var, set())
         return prop in props or "*" in props
 
+    # -- indexes
+
+    def target(self, e: Q.Call) -> list[float]:
+        q = e.args[1]
+        t = [x.value for x in q.value] if isinstance(q, Q.Lit) and q.kind == "List" else self.params[q.name] if isinstance(q, Q.Var) else q.value
+        if isinstance(t, str):
+            t = self.embed(t, self.g.catalog.nodes[self.types[e.args[0].var]].props[e.args[0].prop].type.dim, role="query")
+        return [float(x) for x in t]
+
+    def use_indexes(self, s: Scope, body: Q.Read) -> None:
+        """Scan only rows that an index leaves: of a text predicate always, of nearest where an approximation is asked for."""
+        if self.g.indexes is None:
+            return
+        calls, own = {c.name for c in self.calls(s)}, {b.var: b.type for b in s.bindings}
+        for f in s.filters:
+            e = f.left
+            # The rows of the match are the corpus of bm25: it needs them all.
+            if isinstance(e, Q.Call) and e.name in ("search", "match_text") and (f.op, f.right) == ("=", Q.Lit("Bool", True)) and not calls & {"bm25", "rrf"}:
+                at, q = e.args[0], self.constant_text(e.args[1])
+                if isinstance(at, Q.PropRef) and at.var in own and at.var not in self.narrowed and q is not None:
+                    found = self.g.indexes.text(own[at.var], at.prop, text.query_tokens(q))
+                    if found is not None:
+                        self.narrowed[at.var] = found
+        first = body.order[0].expr if body.order else None
+        plain = len(s.bindings) == 1 and not (s.bindings[0].props or s.hops or s.filters or s.negations) and calls == {"nearest"}
+        if self.approximate and plain and body.limit and isinstance(first, Q.Call) and first.name == "nearest" and isinstance(first.args[0], Q.PropRef):
+            b = s.bindings[0]
+            found = self.g.indexes.vectors(b.type, first.args[0].prop, self.target(first), body.limit, None if self.approximate is True else self.approximate)
+            if found is not None:
+                self.narrowed[b.var] = found
+
     # -- negation
 
     def negate(self, df: DataFrame, n: Scope, bound: dict[str, str], tag: int) -> DataFrame:
@@ -392,6 +422,7 @@ class Planner:
     def plan(self) -> DataFrame:
         s, body = self.c.scope, self.c.query.body
         self.types = s.types
+        self.use_indexes(s, body)
         df, bound = self.match(s, None, {})
         for f in s.filters:
             if self.pushable(f):
@@ -449,5 +480,5 @@ class Planner:
         return out.select(*[F.col(f"_o{i}").alias(n) for i, n in enumerate(self.c.names)])
 
 
-def plan(graph: Graph, checked: Checked, params: dict, now: dt.datetime, embed=vector.mock_embedding) -> DataFrame:
-    return Planner(graph, checked, params, now, embed).plan()
+def plan(graph: Graph, checked: Checked, params: dict, now: dt.datetime, embed=vector.mock_embedding, approximate: bool | float = False) -> DataFrame:
+    return Planner(graph, checked, params, now, embed, approximate).plan()

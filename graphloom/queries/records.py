@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from graphloom import formats
 from graphloom.database import GraphDB
 from graphloom.errors import ConflictError, GraphError
+from graphloom.functions.vector import mock_embedding
 from graphloom.operators.mutate import Mutator
 from graphloom.plans.typecheck import check_mutation
+from graphloom.queries.graph import _TOKENS
 from graphloom.queries.language import _values
 from graphloom.queries.store import CUSTOMERS, database
 from graphloom.sources.tables import read
@@ -297,9 +299,42 @@ def doctor_findings(spark, d):
     return spark.createDataFrame([(x.partition(":")[0] + ":" + x.split(":")[1], x.rpartition(": ")[2]) for x in db.doctor()], "place string, finding string")
 
 
+def search_indexed(spark, d):
+    """A search through the index, after later inserts, updates and deletes that the index hasn't seen."""
+    db = _notes(spark, d)
+    db.index("Note", "text")
+    db.run('query q() { insert Note { docid: 90000001, text: "a Beacon, and the harbor" } }', "q")
+    db.run('query q($n: I64) { delete Note where nchars > $n }', "q", {"n": 20_000})
+    db.run('query q() { insert Note { docid: 90000002, text: "harbor only" } }', "q")
+    return db.run('query q() { match { $n: Note  search($n.text, "harbor beacon") } return { $n.docid } }', "q")
+
+
+def phrase_indexed(spark, d):
+    db = _notes(spark, d)
+    db.index("Note", "text")
+    return db.run('query q() { match { $n: Note  match_text($n.text, "one another") } return { $n.docid } }', "q")
+
+
+def nearest_indexed(spark, d):
+    """Eight targets against the index: whether at least nine in ten of the exact ten nearest come back.
+
+    These vectors have no order in them, so most cells are read; see the README.
+    """
+    db = _db(spark, "node Vec { vecid: I64 @key  v: Vector(64)? }")
+    db.store.put_frames({"node:Vec": read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("vec_id").alias("vecid"), F.col("embedding").alias("v"))})
+    db.index("Vec", "v")
+    source = "query q($q: Vector(64)) { match { $x: Vec } return { $x.vecid } order { nearest($x.v, $q) } limit 10 }"
+    hits = total = 0
+    for i in range(8):
+        exact, found = ({x[0] for x in db.run(source, "q", {"q": mock_embedding(f"target {i}", 64)}, approximate=a).collect()} for a in (False, 0.7))
+        hits, total = hits + len(exact & found), total + len(exact)
+    return spark.createDataFrame([(hits >= 0.9 * total,)], "recalled boolean")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
+        search_indexed, phrase_indexed, nearest_indexed,
         load_append, load_overwrite, load_keyed_merge, load_last_edge, edge_properties, edge_puts, null_predicates, compare_and_set, change_rows, change_order, feed_table, result_ipc, result_json, result_csv,
         media_blobs, embed_on_load, embed_backfill, load_errors, lint_findings, describe_counts, schema_steps, migrated_rows, doctor_findings,
     )
@@ -312,6 +347,9 @@ _EVENTS = """SELECT 2::BIGINT AS graph_version, 'update' AS change_kind, c_custk
 UNION ALL SELECT 3, 'delete', c_custkey FROM customer WHERE c_acctbal > 9000"""
 
 ORACLE = {
+    "search_indexed": f"SELECT doc_id AS docid FROM documents WHERE list_has_all({_TOKENS}, ['harbor', 'beacon']) AND (n_chars IS NULL OR n_chars <= 20000) UNION ALL SELECT 90000001",
+    "phrase_indexed": f"SELECT doc_id AS docid FROM documents WHERE contains(' ' || array_to_string({_TOKENS}, ' ') || ' ', ' one another ')",
+    "nearest_indexed": "SELECT true AS recalled",
     "load_append": _CUSTOMERS,
     "load_overwrite": _CUSTOMERS + " WHERE c_acctbal > 5000",
     "load_keyed_merge": """SELECT c_custkey AS custkey, c_name AS name, CASE WHEN c_mktsegment <> 'BUILDING' THEN c_acctbal END AS acctbal, true AS kept_id FROM customer
