@@ -6,14 +6,13 @@ import datetime as dt
 import tempfile
 from collections.abc import Callable
 from dataclasses import asdict, dataclass
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom import formats
 from graphloom.errors import ConflictError, GraphError, PlanError
-from graphloom.functions.vector import chunked_embedding, mock_embedding
+from graphloom.functions.vector import Chunked, mock_embedding
 from graphloom.operators.mutate import Affected, Mutator
 from graphloom.plans import migrate as M
 from graphloom.plans import query as Q
@@ -197,7 +196,7 @@ class GraphDB:
 
     @property
     def _embed(self) -> Callable:
-        return partial(chunked_embedding, provider=self.provider)
+        return Chunked(self.provider)
 
     def export(self, **how) -> DataFrame:
         return jsonl.export(self.store, **how)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from graphloom.errors import GraphError
+from graphloom.functions.vector import several
 
 
 class EmbeddingError(GraphError):
@@ -35,36 +36,49 @@ class HttpProvider:
     timeout: float = 30.0
     retries: int = 4
     pause: float = 0.2
+    batch: int = 64
 
-    def request(self, text: str, dim: int, role: str) -> urllib.request.Request:
+    def request(self, texts: list[str], dim: int, role: str) -> urllib.request.Request:
         headers = {"Content-Type": "application/json"}
         if self.form == "openai":
-            url, body = f"{self.url.rstrip('/')}/embeddings", {"model": self.model, "input": [text], "dimensions": dim}
+            url, body = f"{self.url.rstrip('/')}/embeddings", {"model": self.model, "input": texts, "dimensions": dim}
             if self.key:
                 headers["Authorization"] = f"Bearer {self.key}"
         elif self.form == "gemini":
-            url = f"{self.url.rstrip('/')}/models/{self.model}:embedContent"
-            body = {"content": {"parts": [{"text": text}]}, "outputDimensionality": dim, "taskType": "RETRIEVAL_QUERY" if role == "query" else "RETRIEVAL_DOCUMENT"}
+            task = "RETRIEVAL_QUERY" if role == "query" else "RETRIEVAL_DOCUMENT"
+            url = f"{self.url.rstrip('/')}/models/{self.model}:batchEmbedContents"
+            body = {"requests": [{"model": f"models/{self.model}", "content": {"parts": [{"text": t}]}, "outputDimensionality": dim, "taskType": task} for t in texts]}
             if self.key:
                 headers["x-goog-api-key"] = self.key
         else:
             raise EmbeddingError(f"unknown form {self.form}")
         return urllib.request.Request(url, json.dumps(body).encode(), headers)
 
-    def vector(self, answer: dict) -> list[float]:
-        return answer["data"][0]["embedding"] if self.form == "openai" else answer["embedding"]["values"]
+    def vectors(self, answer: dict) -> list[list[float]]:
+        if self.form == "openai":
+            return [d["embedding"] for d in sorted(answer["data"], key=lambda d: d.get("index", 0))]
+        return [e["values"] for e in answer["embeddings"]]
 
     def __call__(self, text: str, dim: int, role: str = "document") -> list[float]:
+        return self.many([text], dim, role)[0]
+
+    def many(self, texts: list[str], dim: int, role: str = "document") -> list[list[float]]:
+        """The vectors of several texts, ``batch`` of them a request."""
+        return [v for a in range(0, len(texts), self.batch) for v in self._ask(texts[a : a + self.batch], dim, role)]
+
+    def _ask(self, texts: list[str], dim: int, role: str) -> list[list[float]]:
         last: Exception | None = None
         for attempt in range(self.retries + 1):
             if attempt:
                 time.sleep(self.pause * 2 ** (attempt - 1))
             try:
-                with urllib.request.urlopen(self.request(text, dim, role), timeout=self.timeout) as r:
-                    v = self.vector(json.load(r))
-                if len(v) != dim:
-                    raise EmbeddingError(f"{len(v)} elements instead of {dim}")
-                return [float(x) for x in v]
+                with urllib.request.urlopen(self.request(texts, dim, role), timeout=self.timeout) as r:
+                    out = self.vectors(json.load(r))
+                if len(out) != len(texts):
+                    raise EmbeddingError(f"{len(out)} vectors for {len(texts)} texts")
+                if wrong := next((len(v) for v in out if len(v) != dim), None):
+                    raise EmbeddingError(f"{wrong} elements instead of {dim}")
+                return [[float(x) for x in v] for v in out]
             except urllib.error.HTTPError as e:
                 if e.code != 429 and e.code < 500:
                     raise EmbeddingError(f"the provider said {e.code}") from None
@@ -89,7 +103,7 @@ def embed_cached(df: DataFrame, source: str, target: str, dim: int, provider, ca
 
     @F.arrow_udf(ArrayType(FloatType()))
     def make(texts: pa.Array) -> pa.Array:
-        return pa.array([provider(t, dim) for t in texts.to_pylist()], pa.list_(pa.float32()))
+        return pa.array(several(provider, texts.to_pylist(), dim), pa.list_(pa.float32()))
 
     fresh = due.select(F.lit(model).alias("model"), F.lit(dim).alias("dim"), "hash", make.asNondeterministic()("text").alias("vector"))
     fresh.write.mode("append").parquet(cache)

@@ -68,6 +68,35 @@ def mock_embedding(text: str, dim: int, *, role: str = "document", kind: str = "
     return _unit(mixed.astype(np.float32)).tolist()
 
 
+def several(provider, texts: list[str], dim: int) -> list[list[float]]:
+    """The vectors of several texts: in one call if the provider has ``many``."""
+    return provider.many(texts, dim) if hasattr(provider, "many") else [provider(t, dim) for t in texts]
+
+
+class Chunked:
+    """A provider that takes long texts: their vector is the mean of their chunks' vectors."""
+
+    def __init__(self, provider=None, chunk: int = 1000, overlap: int = 128):
+        self.provider, self.chunk, self.overlap = provider or mock_embedding, chunk, overlap
+
+    def parts(self, text: str) -> list[str]:
+        if len(text) <= self.chunk:
+            return [text]
+        return [text[i : i + self.chunk] for i in range(0, max(1, len(text) - self.overlap), max(1, self.chunk - self.overlap))]
+
+    def __call__(self, text: str, dim: int) -> list[float]:
+        return self.many([text], dim)[0]
+
+    def many(self, texts: list[str], dim: int) -> list[list[float]]:
+        parts = [self.parts(t) for t in texts]
+        vectors, out, at = several(self.provider, [p for ps in parts for p in ps], dim), [], 0
+        for ps in parts:
+            own = vectors[at : at + len(ps)]
+            at += len(ps)
+            out.append(own[0] if len(ps) == 1 else _unit(np.mean(np.array(own, np.float32), axis=0)).tolist())
+        return out
+
+
 def embed_texts(dim: int, provider=mock_embedding):
     """An Arrow UDF: texts to vectors by ``provider(text, dim)``; equal texts of a batch are embedded once."""
     from pyspark.sql.types import ArrayType, FloatType
@@ -75,16 +104,7 @@ def embed_texts(dim: int, provider=mock_embedding):
     @F.arrow_udf(ArrayType(FloatType()))
     def embed(t: pa.Array) -> pa.Array:
         coded = t.dictionary_encode()
-        own = [provider(x, dim) for x in coded.dictionary.to_pylist()]
+        own = several(provider, coded.dictionary.to_pylist(), dim)
         return pa.array([None if i is None else own[i] for i in coded.indices.to_pylist()], pa.list_(pa.float32()))
 
     return embed
-
-
-def chunked_embedding(text: str, dim: int, *, chunk: int = 1000, overlap: int = 128, provider=mock_embedding) -> list[float]:
-    """A long text's vector: the mean of its chunks' vectors."""
-    if len(text) <= chunk:
-        return provider(text, dim)
-    step = max(1, chunk - overlap)
-    parts = [provider(text[i : i + chunk], dim) for i in range(0, max(1, len(text) - overlap), step)]
-    return _unit(np.mean(np.array(parts, np.float32), axis=0)).tolist()

@@ -56,7 +56,7 @@ class Mutator:
                     values[p.name] = self.embed(values[p.embed], p.type.dim)
         cols = [F.lit(i).cast("bigint").alias(c) for c, i in ids.items()]
         cols += [(literal(values[p.name], p.type) if values.get(p.name) is not None else F.lit(None).cast(p.type.spark())).alias(p.name) for p in t.props.values()]
-        return self.store.spark.range(1).select(*cols)
+        return self.store.spark.range(0, 1, 1, 1).select(*cols)
 
     def condition(self, where: tuple[Q.Predicate, ...], t: NodeType | EdgeType) -> Column:
         """All predicates, in three-valued logic: only TRUE matches."""
@@ -152,10 +152,10 @@ class Mutator:
             if p.embed in values and p.name not in values and values[p.embed] is not None:
                 values[p.name] = self.embed(values[p.embed], p.type.dim)
         old = self.part(name, touched)
-        new = old.select("id", *[F.when(c, literal(values[p.name], p.type)).otherwise(F.col(p.name)).alias(p.name) if p.name in values else F.col(p.name) for p in t.props.values()])
+        value = {p.name: literal(values[p.name], p.type) if values[p.name] is not None else F.lit(None).cast(p.type.spark()) for p in t.props.values() if p.name in values}
+        new = old.select("id", *[F.when(c, value[p]).otherwise(F.col(p)).alias(p) if p in value else F.col(p) for p in t.props])
         written = self.store.write(name, new)
-        hit = old.filter(c).select("id")
-        after = self.part(name, [written]).join(hit, "id", "left_semi")
+        after = old.filter(c).select("id", *[value[p].alias(p) if p in value else F.col(p) for p in t.props])
         self.commit({name: [*keep, written]}, f"update {t.name}", image("node", t.name, after, "update"))
         return Affected(n, 0, n)
 

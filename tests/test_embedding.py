@@ -7,7 +7,7 @@ import pytest
 
 from graphloom.database import GraphDB
 from graphloom.functions.embedding import EmbeddingError, HttpProvider, embed_cached
-from graphloom.functions.vector import chunked_embedding, mock_embedding
+from graphloom.functions.vector import Chunked, mock_embedding
 
 
 @pytest.fixture
@@ -26,8 +26,10 @@ def server():
                 self.send_response(400)
                 self.end_headers()
                 return
-            v = [1.0, 2.0]
-            out = {"data": [{"embedding": v}]} if "input" in body else {"embedding": {"values": v}}
+            if "input" in body:  # out of order, with their places
+                out = {"data": [{"index": i, "embedding": [1.0 + i, 2.0]} for i in reversed(range(len(body["input"])))]}
+            else:
+                out = {"embeddings": [{"values": [1.0 + i, 2.0]} for i in range(len(body["requests"]))]}
             data = json.dumps(out).encode()
             self.send_response(200)
             self.send_header("Content-Length", str(len(data)))
@@ -48,7 +50,7 @@ def test_http_forms_retries_and_errors(server):
     p = HttpProvider(url, "m", key="k", pause=0.01)
     assert p("text", 2) == [1.0, 2.0] and len(seen) == 2 and seen[1][0] == "/embeddings" and seen[1][2] == "Bearer k"
     g = HttpProvider(url, "m", form="gemini", pause=0.01)
-    assert g("text", 2, role="query") == [1.0, 2.0] and seen[-1][1]["taskType"] == "RETRIEVAL_QUERY"
+    assert g("text", 2, role="query") == [1.0, 2.0] and seen[-1][1]["requests"][0]["taskType"] == "RETRIEVAL_QUERY"
     with pytest.raises(EmbeddingError):
         p("refuse", 2)
     with pytest.raises(EmbeddingError):
@@ -56,6 +58,14 @@ def test_http_forms_retries_and_errors(server):
     assert "k'" not in repr(p)
 
 
+def test_http_sends_several_texts_at_once(server):
+    url, seen = server
+    seen.append("no refusal")
+    for form in ("openai", "gemini"):
+        p, before = HttpProvider(url, "m", form=form, pause=0.01, batch=2), len(seen)
+        assert Chunked(p).many(["a", "b", "c"], 2) == [[1.0, 2.0], [2.0, 2.0], [1.0, 2.0]] and len(seen) == before + 2
+
+
 def test_cache_embeds_each_text_once(spark, tmp_path):
     log = tmp_path / "log"
     log.mkdir()
@@ -78,7 +88,7 @@ def test_cache_embeds_each_text_once(spark, tmp_path):
 
 
 def test_long_texts_are_averaged():
-    v = chunked_embedding("word " * 1000, 8)
+    v = Chunked()("word " * 1000, 8)
     assert len(v) == 8 and abs(sum(x * x for x in v) - 1) < 1e-5
 
 
