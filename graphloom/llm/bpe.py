@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ import regex
 DEFAULT_VOCAB = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: White space as Unicode's White_Space has it; spelled out, for classes of regex engines differ.
 SPACE = r"\t-\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
-#: How a text is cut into words before merging; the parts cover every character.
+#: Fixed value, the public vocabulary's pattern: how a text is cut into words before merging; the parts cover every character.
 WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 #: Words kept in a worker's memory; beyond, the memory starts anew.
 CACHE_WORDS = 400_000
@@ -35,12 +36,13 @@ class _Cache(dict):
     """Words to numbers; a new word is merged when it is first asked for."""
 
     def __init__(self, bpe: Bpe):
-        self.bpe, self.ids, self.sizes = bpe, [], []
+        # Typed arrays: numpy copies them as they lie, without a look at each number.
+        self.bpe, self.ids, self.sizes = bpe, array("i"), array("q")
 
     def __missing__(self, word: str) -> int:
         ids = self.bpe.merge(word.encode())
         n = self[word] = len(self.sizes)
-        self.ids += ids
+        self.ids.extend(ids)
         self.sizes.append(len(ids))
         return n
 
