@@ -45,12 +45,12 @@ OWN_STEPS, GUEST_STEPS = 8, 24
 
 def valid(vectors: DataFrame) -> DataFrame:
     """The vectors that take part: target_prop, dim, h1, h2 (equal for exact copies), vec_id, embedding."""
-    e = F.col("embedding")
+    e = F.col("embedding").cast("array<float>")
     squares = F.aggregate(e, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     finite = ~F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     ok = F.when(e.isNotNull() & (F.size(e) == F.col("dim")), F.when(F.coalesce(finite, F.lit(False)), F.sqrt(squares) > 1e-10))
     v = vectors.filter("target_prop is not null and dim is not null and vec_id is not null").filter(F.coalesce(ok, F.lit(False)))
-    return v.select(*GROUP, F.xxhash64(e).alias("h1"), F.xxhash64(F.lit(1), e).alias("h2"), "vec_id", "embedding")
+    return v.select(*GROUP, F.xxhash64(e).alias("h1"), F.xxhash64(F.lit(1), e).alias("h2"), "vec_id", e.alias("embedding"))
 
 
 def _raw(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:

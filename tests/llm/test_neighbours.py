@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.llm import neighbours
 from graphloom.llm.hnsw import Hnsw, top
@@ -74,6 +75,11 @@ def test_what_takes_part_and_copies(spark):
     assert pairs == {(min(i, j), max(i, j)) for i, v in got.items() for j in v}
 
 
+def test_vectors_of_doubles_and_other_columns(spark):
+    df = rows(spark, [(i, "p", 3, [1, i, 0]) for i in range(4)]).withColumn("embedding", F.col("embedding").cast("array<double>")).withColumns({c: F.lit(1) for c in ("rep", "home", "h1", "n")})
+    assert neighbours.most_similar(df, k=1, shard_bytes=24).count() == 4
+
+
 def test_nothing(spark):
     assert neighbours.similar_pairs(rows(spark, [])).collect() == []
     assert neighbours.similar_pairs(rows(spark, [(1, "p", 3, [1, 0, 0])])).collect() == []
