@@ -26,7 +26,7 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -38,6 +38,7 @@ KEY = ["table_id", "fragment_id"]
 FRAGMENT = [*KEY, "generation"]
 DELETED_SHARE = 10
 DATA = "fragment_id bigint, row_id bigint, is_deleted boolean, payload string, _t string, _g bigint"
+#: ``_t`` is a dot and the table_id, so that an empty one is a folder of its own.
 TINY = "row_id bigint, is_deleted boolean, payload string, _t string, _f bigint"
 ROWS_A_FILE = 1_000_000
 LIVE = "table_id string, fragment_id bigint, generation bigint, size bigint, deleted bigint"
@@ -58,6 +59,14 @@ def measured(datasets: DataFrame, fragments: DataFrame, rows: DataFrame) -> Data
     return m.select(*KEY, "target", F.coalesce("size", F.lit(0)).alias("size"), F.coalesce("deleted", F.lit(0)).alias("deleted"))
 
 
+def _folder() -> Column:
+    return F.concat(F.lit("."), "table_id").alias("_t")
+
+
+def _table_id() -> Column:
+    return F.expr("substring(_t, 2)").alias("table_id")
+
+
 def chosen(measured: DataFrame) -> DataFrame:
     """The measured fragments that must go."""
     m = measured.withColumn("small", F.coalesce(F.col("size") < F.col("target"), F.lit(False)))
@@ -126,11 +135,11 @@ class FragmentStore:
         # One number a compaction; so only the partitions of these generations are listed and read.
         generations = [r[0] for r in live.select("generation").distinct().collect()]
         if 0 in generations:
-            came = self.raw if self.raw is not None else self.spark.read.schema(TINY).parquet(self.files.url("tiny")).withColumnsRenamed({"_t": "table_id", "_f": "fragment_id"})
+            came = self.raw if self.raw is not None else self.spark.read.schema(TINY).parquet(self.files.url("tiny")).select("*", _table_id(), F.col("_f").alias("fragment_id"))
             parts.append(came.withColumn("generation", F.lit(0).cast("bigint")).select(*cols))
         if any(generations):
             stored = self.spark.read.schema(DATA).parquet(self.files.url("data")).filter(F.col("_g").isin(generations))
-            parts.append(stored.withColumnsRenamed({"_t": "table_id", "_g": "generation"}).select(*cols))
+            parts.append(stored.select("*", _table_id(), F.col("_g").alias("generation")).select(*cols))
         if not parts:
             return self.spark.createDataFrame([], "table_id string, fragment_id bigint, generation bigint, row_id bigint, is_deleted boolean, payload string")
         names = small_or_plain(live.select(*FRAGMENT), 200_000)
@@ -150,7 +159,7 @@ class FragmentStore:
         """The first snapshot: the live fragments as they are, their rows left in place, or each written as a file if ``rows`` are given."""
         live = measured(datasets, fragments, self.raw if rows is None else rows)
         if rows is not None:
-            out = rows.join(live.select(*KEY), KEY, "left_semi").select("row_id", "is_deleted", "payload", F.col("table_id").alias("_t"), F.col("fragment_id").alias("_f"))
+            out = rows.join(live.select(*KEY), KEY, "left_semi").select("row_id", "is_deleted", "payload", _folder(), F.col("fragment_id").alias("_f"))
             out.repartition("_t", "_f").sortWithinPartitions("_t", "_f").write.mode("overwrite").partitionBy("_t", "_f").parquet(self.files.url("tiny"))
         heads = fragments.filter("table_id is not null").groupBy("table_id").agg((F.coalesce(F.max("fragment_id"), F.lit(-1)) + 1).alias("next_id"))
         name = uuid.uuid4().hex
@@ -183,11 +192,11 @@ class FragmentStore:
         one = r.groupBy("table_id", "row_id").agg(F.min(F.struct("goes", "fragment_id", "start", "target", payload.alias("payload"))).alias("b")).filter("b.goes")
         n = F.floor(F.col("b.start") / F.col("b.target"))
         moved = one.select("table_id", n.alias("n"), F.floor(n * F.col("b.target") / ROWS_A_FILE).alias("file"), "row_id", "b.payload").join(heads, "table_id")
-        out = moved.select((F.col("next_id") + F.col("n")).alias("fragment_id"), "row_id", F.lit(False).alias("is_deleted"), "payload", F.col("table_id").alias("_t"), F.lit(generation).cast("bigint").alias("_g"), "file")
+        out = moved.select((F.col("next_id") + F.col("n")).alias("fragment_id"), "row_id", F.lit(False).alias("is_deleted"), "payload", _folder(), F.lit(generation).cast("bigint").alias("_g"), "file")
         out = out.repartition("_t", "file").drop("file").sortWithinPartitions("_t", "_g", "fragment_id", "row_id")
         out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_t", "_g").parquet(self.files.url("data"))
         stored = self.spark.read.schema(DATA).parquet(self.files.url("data")).filter(F.col("_g") == generation)
-        self._save(name, added=stored.groupBy(F.col("_t").alias("table_id"), "fragment_id", F.col("_g").alias("generation")).agg(F.count("*").alias("size"), F.lit(0).cast("bigint").alias("deleted")))
+        self._save(name, added=stored.groupBy(_table_id(), "fragment_id", F.col("_g").alias("generation")).agg(F.count("*").alias("size"), F.lit(0).cast("bigint").alias("deleted")))
         added = self.spark.read.parquet(self.files.url(f"snapshots/{name}/added"))
         repeated = self._check(old, self.rows(stays), stored)
         top = added.groupBy("table_id").agg((F.max("fragment_id") + 1).alias("top"))
@@ -204,7 +213,7 @@ class FragmentStore:
         """Compare the records before with those after, as they lie on disk; whether one still stands several times."""
         key = ["table_id", "row_id"]
         before = old.select(*key, F.lit(1).alias("before"), F.lit(0).alias("after"))
-        after = stays.filter(~F.coalesce("is_deleted", F.lit(False))).select(*key).unionByName(written.select(F.col("_t").alias("table_id"), "row_id"))
+        after = stays.filter(~F.coalesce("is_deleted", F.lit(False))).select(*key).unionByName(written.select(_table_id(), "row_id"))
         both = before.unionByName(after.select(*key, F.lit(0).alias("before"), F.lit(1).alias("after"))).groupBy(*key).agg(F.max("before").alias("before"), F.sum("after").alias("after"))
         wrong, several = both.agg(F.count_if((F.col("before") > 0) != (F.col("after") > 0)), F.count_if(F.col("after") > 1)).first()
         if wrong:
@@ -220,7 +229,7 @@ class FragmentStore:
         n = 0
         stored = self.spark.read.schema(DATA).parquet(self.files.url("data")).select("_t", "_g").distinct() if self.files.exists("data") else None
         for t, g in stored.toLocalIterator() if stored is not None else ():
-            if (t, g) not in used:
+            if (t[1:], g) not in used:
                 escaped = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(t)
                 self.files.delete(f"data/_t={escaped}/_g={g}")
                 n += 1

@@ -274,13 +274,15 @@ ROWS = "table_id string, fragment_id bigint, row_id bigint, is_deleted boolean,
 
 def tables(spark, seed=9):
     rng = random.Random(seed)
-    ds = [(i, f"t/{i}", 10, None, rng.choice([8, 8, 20, None]), 1) for i in range(5)]
+    # Names that file systems don't take as they are, and an empty one.
+    names = ["t/0", "", ".", "a=b c", "Ä%41"]
+    ds = [(i, names[i], 10, None, rng.choice([8, 8, 20, None]), 1) for i in range(5)]
     fr, rows = [], []
     for i in range(5):
         for f in range(rng.choice([1, 2, 12])):
-            fr.append((f"t/{i}", f, rng.choice([3, 10, 11]), rng.choice([None, None, 10, 12]), None, 0))
+            fr.append((names[i], f, rng.choice([3, 10, 11]), rng.choice([None, None, 10, 12]), None, 0))
             for _ in range(rng.choice([0, 1, 3, 9, 25])):
-                rows.append((f"t/{i}", f, rng.randrange(60), None, "", 0))
+                rows.append((names[i], f, rng.randrange(60), None, "", 0))
     rows = [(t, f, r, (r * 7) % 11 == 0 or None, f"p{t}{r}", 0) for t, f, r in sorted({x[:3] for x in rows})]
     return ds, fr, rows
 
