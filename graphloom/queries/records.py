@@ -294,7 +294,7 @@ def doctor_findings(spark, d):
     db = database(spark, d, *CUSTOMERS)
     g = graph(spark, d)
     c, e = g.nodes["Customer"], g.edges["Placed"]
-    lost = c.filter("acctbal < 9990")
+    lost = c.filter(F.col("id") != e.agg(F.max("src")).first()[0])
     db.store.put_frames({"node:Customer": lost.union(lost.orderBy("id").limit(1)), "edge:Placed": e.union(e.orderBy("dst").limit(1))})
     return spark.createDataFrame([(x.partition(":")[0] + ":" + x.split(":")[1], x.rpartition(": ")[2]) for x in db.doctor()], "place string, finding string")
 
