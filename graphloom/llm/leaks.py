@@ -15,6 +15,8 @@ added or left out. Nothing is missed:
 * its unchanged words lie in one more run than there are changes, so one run has at least ``shortest_run`` words, 5 for 16
   words with one change in 8. The mask (11011) is as long: each such run holds a hit, and so do shorter runs that one
   altered word parts.
+* in the same way a smallest passage holds at least ``hits`` of them (2 here): a stretch and a passage with fewer in common
+  aren't compared.
 * hits that follow each other on one diagonal are one unbroken run of words; the first stands for them.
 
 Nothing is held on the driver but a Bloom filter of the items' seeds (at most 16 MB, so its broadcast is bounded whatever
@@ -106,12 +108,18 @@ class Shape:
         if run < 3:
             raise ValueError("so many changes leave no run of three words")
         self.mask = "1" * (run // 2) + "0" + "1" * (run - run // 2 - 1)
+        #: Hits that a smallest passage has at least: its runs' words but for span - 1 of each run.
+        self.hits = max(1, min(n - c - (c + 1) * (run - 1) for n, c in self.smallest()))
         #: Zeros between texts: more than a seed or the changes can cross.
         self.gap = len(self.mask) + self.changes + 1
 
     def shortest_run(self) -> int:
         """The longest run of unchanged words that every smallest passage has."""
-        return min(-(-(n - n // self.one_in) // (n // self.one_in + 1)) for n in range(self.words, 2 * self.words))
+        return min(-(-(n - c) // (c + 1)) for n, c in self.smallest())
+
+    def smallest(self) -> list[tuple[int, int]]:
+        """Words and most changes of the smallest passages."""
+        return [(n, n // self.one_in) for n in range(self.words, 2 * self.words)]
 
 
 class _Words(dict):
@@ -271,7 +279,7 @@ def stretches(texts: list[str | None], flags: np.ndarray, shape: Shape) -> tuple
             if i < j:
                 docs.append(int(doc[f]))
                 own.append(words[x:y])
-                hashes.append(np.unique(h[i:j]))
+                hashes.append(h[i:j])
     return docs, own, hashes
 
 
@@ -379,7 +387,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", ite
 
     corpus = over_cores(docs.select(F.col(doc_id), F.col(text)))
     near = materialize(corpus.mapInArrow(look, f"doc_id {kind}, words array<bigint>, hashes array<bigint>")).withColumn("seg", F.monotonically_increasing_id())
-    pairs = near.select("seg", F.explode("hashes").alias("hash")).join(seeds, "hash").select("seg", "pid").distinct()
+    # Each place counts, also where words repeat: a passage has so many places, not so many different seeds.
+    pairs = near.select("seg", F.explode("hashes").alias("hash")).join(seeds, "hash").groupBy("seg", "pid").count().filter(F.col("count") >= shape.hits).select("seg", "pid")
     both = pairs.join(near.select("seg", "doc_id", "words"), "seg").join(own, "pid").select("doc_id", "item_id", "words", "item_words")
 
     def check(batches):

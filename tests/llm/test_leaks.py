@@ -145,6 +145,12 @@ def test_the_mask_finds_what_unbroken_seeds_miss(spark):
     assert leaks.find_leaks(d, e, one_in=5).collect() and not leaks.find_leaks(d, e).collect()
 
 
+def test_a_passage_of_one_word(spark):
+    assert leaks.Shape(16, 8).hits == 2 and leaks.Shape(16, 5).hits >= 1
+    d = " ".join(["x"] * 9 + ["y"] + ["x"] * 7)
+    assert found(spark, [d, " ".join(["x"] * 12)], {1: ["x"] * 18}) == {(0, 1)}
+
+
 def brute(doc, item, words=16, one_in=8):
     """Whether some successive words of the item stand in the document with so few changes."""
     for i in range(len(item) - words + 1):
