@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 
-RATIO, FLAT = 16, 1024
+RATIO, FLAT = 6, 3000
 _ID, _SCALE = (1 << 31) - 1, 1 << 29
 
 

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.llm import neighbours
-from graphloom.llm.hnsw import Hnsw, top
+from graphloom.llm.hnsw import FLAT, Hnsw, top
 
 SCHEMA = "vec_id bigint, owner_slug string, target_prop string, dim int, embedding array<float>, shard int"
 
@@ -21,11 +21,11 @@ def exact(x, k):
     return np.argsort(-s, axis=1, kind="stable")[:, :k], s
 
 
-@pytest.mark.parametrize("n", [1, 2, 30, 3000])
+@pytest.mark.parametrize("n", [1, 2, 30, 4000])
 def test_graph_recall(n):
     x = clustered(max(n, 8), 16)[:n].astype(np.float32)
     h = Hnsw(x, degree=32, beam=64, steps=48, entries=16, batch=256)
-    assert (h.upper is None) == (n <= 1024)
+    assert (h.upper is None) == (n <= FLAT)
     ids, sims = top(*h.search(x, own=np.arange(n), steps=8), 8)
     ids, sims = zip(*([[j for j, _ in p][:5], [v for _, v in p][:5]] for p in ([(j, v) for j, v in zip(a, b, strict=True) if j not in (i, -1)] for i, (a, b) in enumerate(zip(ids, sims, strict=True)))), strict=True)
     want, s = exact(x, 5)
