@@ -135,8 +135,10 @@ class FragmentStore:
         # One number a compaction; so only the partitions of these generations are listed and read.
         generations = [r[0] for r in live.select("generation").distinct().collect()]
         if 0 in generations:
-            came = self.raw if self.raw is not None else self.spark.read.schema(TINY).parquet(self.files.url("tiny")).select("*", _table_id(), F.col("_f").alias("fragment_id"))
-            parts.append(came.withColumn("generation", F.lit(0).cast("bigint")).select(*cols))
+            if self.raw is None:
+                # Written once by ``adopt`` and never changed: the many files are listed once.
+                self.raw = self.spark.read.schema(TINY).parquet(self.files.url("tiny")).select("*", _table_id(), F.col("_f").alias("fragment_id"))
+            parts.append(self.raw.withColumn("generation", F.lit(0).cast("bigint")).select(*cols))
         if any(generations):
             stored = self.spark.read.schema(DATA).parquet(self.files.url("data")).filter(F.col("_g").isin(generations))
             parts.append(stored.select("*", _table_id(), F.col("_g").alias("generation")).select(*cols))
