@@ -7,6 +7,8 @@ skew are Catalyst's and AQE's. What the planner adds is what they can't infer:
 * a node reached over an edge is joined to its table only if a property of it is used (endpoints exist by the store's
   rules);
 * a bounded hop is computed on the distinct sources, level by level, and joined back;
+* a negation between two scans that the match multiplies is computed from its own edges, and held by the rows of the larger
+  scan before they are multiplied: the product is neither expanded, shuffled nor sorted;
 * a score that is used twice is computed once;
 * the right side of a comparison is cast to the left side's type, constants on the driver's side of the plan.
 """
@@ -28,6 +30,9 @@ from graphloom.plans.typecheck import Checked, Hop, Scope, coerced, is_aggregate
 from graphloom.plans.types import PropType
 from graphloom.util import materialize
 
+#: Rows of a scan that is broadcast to be multiplied with another, where a negation stands between them.
+MOST_BROADCAST = 100_000
+
 
 class Lazy(dict):
     """Tables made when they are first asked for: a query opens only what it reads."""
@@ -50,6 +55,8 @@ class Graph:
     nodes: dict[str, DataFrame]
     edges: dict[str, DataFrame]
     simple: set[str] = field(default_factory=set)
+    #: Rows of edges before their pairs are made unique, for readers that drop repeats themselves.
+    loose: dict[str, DataFrame] = field(default_factory=dict)
     #: Indexes of the tables: ``text(type, prop, tokens)`` and ``vectors(type, prop, target, k)`` give narrower tables, or None.
     indexes: object = None
 
@@ -57,6 +64,14 @@ class Graph:
         p = self.edges[edge].select("src", "dst")
         return p if edge in self.simple else p.distinct()
 
+    def rows(self, edge: str) -> DataFrame:
+        """The pairs, of which some may repeat."""
+        return (self.loose if edge in self.loose else self.edges)[edge].select("src", "dst")
+
+    def pairs_by(self, edge: str, at: str) -> DataFrame:
+        """The pairs, made unique after the shuffle by ``at`` that a join on it needs anyway."""
+        return self.pairs(edge) if edge in self.simple and edge not in self.loose else self.rows(edge).repartition(at).distinct()
+
 
 def col(var: str, prop: str = "id") -> Column:
     return F.col(f"`{var}::{prop}`")
@@ -67,6 +82,10 @@ class Planner:
         self.g, self.c, self.params, self.now, self.embed = graph, checked, params, now, embed
         self.approximate, self.narrowed = approximate, {}
         self.scores: dict[object, str] = {}
+        #: By negation its column and the variable sought there; by variable the columns that its scan gets.
+        self.folded: dict[int, tuple[str, str]] = {}
+        self.held: dict[str, list[tuple[str, DataFrame]]] = {}
+        self.small: set[str] = set()
         body: Q.Read = checked.query.body
         self.used: dict[str, set[str]] = {}
         for e in [*[p.expr for p in body.projections], *[o.expr for o in body.order]]:
@@ -117,6 +136,11 @@ class Planner:
             if b.var == var:
                 for prop, value in b.props:
                     df = df.filter(self.prop_match(var, prop, value, t.props[prop].type))
+        if s is self.c.scope:
+            for name, held in self.held.get(var, ()):
+                df = df.join(held, col(var) == F.col(f"{name}_at"), "left").drop(f"{name}_at")
+            if var in self.small:
+                df = F.broadcast(df)
         return df
 
     def prop_match(self, var: str, prop: str, value, t: PropType) -> Column:
@@ -141,8 +165,8 @@ class Planner:
         t = literal_type(value)
         return literal(coerced(value, t, self.params, self.now), t), t
 
-    def match(self, s: Scope, df: DataFrame | None, bound: dict[str, str]) -> tuple[DataFrame, dict[str, str]]:
-        """Join a scope's bindings and hops onto ``df``, in order of connectivity."""
+    def match(self, s: Scope, df: DataFrame | None, bound: dict[str, str], exists: bool = False) -> tuple[DataFrame, dict[str, str]]:
+        """Join a scope's bindings and hops onto ``df``, in order of connectivity. ``exists``: repeats of rows are dropped later."""
         bound = dict(bound)
         waiting = {b.var: b.type for b in s.bindings if b.var not in bound}
         for b in s.bindings:
@@ -166,17 +190,17 @@ class Planner:
                 start = h.src if h.src in waiting or h.dst not in waiting else h.dst
                 add(start, h.src_type if start == h.src else h.dst_type)
             hops.remove(h)
-            df = self.expand(df, h, bound, waiting, s)
+            df = self.expand(df, h, bound, waiting, s, exists)
         for var, t in list(waiting.items()):
             add(var, t)
         return df, bound
 
-    def expand(self, df: DataFrame, h: Hop, bound: dict, waiting: dict, s: Scope) -> DataFrame:
+    def expand(self, df: DataFrame, h: Hop, bound: dict, waiting: dict, s: Scope, exists: bool = False) -> DataFrame:
         forward = h.src in bound
         here, there = (h.src, h.dst) if forward else (h.dst, h.src)
         there_type = h.dst_type if forward else h.src_type
         out = h.out if forward else not h.out
-        steps = self.reach(df.select(col(here).alias("_from")).distinct(), h, out) if (h.low, h.high) != (1, 1) else self.step(h.edge, out)
+        steps = self.reach(df.select(col(here).alias("_from")).distinct(), h, out) if (h.low, h.high) != (1, 1) else self.step(h.edge, out, exists and there not in bound)
         if there in bound:
             return df.join(steps, (col(here) == F.col("_from")) & (col(there) == F.col("_to"))).drop("_from", "_to")
         df = df.join(steps, col(here) == F.col("_from")).drop("_from").withColumnRenamed("_to", f"{there}::id")
@@ -187,9 +211,9 @@ class Planner:
             df = df.join(nodes, col(there) == F.col("_id")).drop("_id")
         return df
 
-    def step(self, edge: str, out: bool) -> DataFrame:
+    def step(self, edge: str, out: bool, by_from: bool = False) -> DataFrame:
         a, b = ("src", "dst") if out else ("dst", "src")
-        return self.g.pairs(edge).select(F.col(a).alias("_from"), F.col(b).alias("_to"))
+        return (self.g.pairs_by(edge, a) if by_from else self.g.pairs(edge)).select(F.col(a).alias("_from"), F.col(b).alias("_to"))
 
     def reach(self, sources: DataFrame, h: Hop, out: bool) -> DataFrame:
         """(_from, _to) pairs joined by a walk of low to high edges, each once."""
@@ -361,6 +385,9 @@ class Planner:
 
     def negate(self, df: DataFrame, n: Scope, bound: dict[str, str], tag: int) -> DataFrame:
         """Drop rows for which the inner block matches, correlated on every outer variable that it uses."""
+        if tag in self.folded:
+            name, v = self.folded[tag]
+            return df.filter(~F.coalesce(F.array_contains(F.col(name), col(v)), F.lit(False))).drop(name)
         shared = sorted(self.mentioned(n) & set(bound))
         if not shared:
             raise PlanError("a negation must use a variable from outside")
@@ -409,6 +436,103 @@ class Planner:
         rest.bindings = [b for b in n.bindings if b.var != there]
         return self.match(rest, df, {v: bound[v], there: there_type})
 
+    def fold(self, n: Scope, tag: int) -> None:
+        """Give the larger of two scans that the match only multiplies the ids of the other that the inner block joins to it.
+
+        They are a list in each of its rows, so the product is filtered where it arises; an anti-join would shuffle and sort it
+        by both ids. A list is no longer than the smaller scan.
+        """
+        pair = self.between(n)
+        if pair is None:
+            return
+        s = self.c.scope
+
+        def count(v: str) -> int:
+            df = self.scan(v, s.types[v], Scope(bindings=s.bindings))
+            for f in s.filters:
+                if self.pushable(f) and self.read(f) == {v}:
+                    df = df.filter(self.condition(f, df))
+            return df.count()
+
+        sizes = {v: count(v) for v in sorted(pair)}
+        large, small = sorted(sizes, key=sizes.get, reverse=True)
+        self.small |= {v for v in pair if v == small and sizes[v] <= MOST_BROADCAST}
+        name = f"_not{tag}"
+        hit = self.linked(n, *pair, tag).select(col(large).alias(f"{name}_at"), col(small).alias(name))
+        hit = hit.filter(F.col(name).isNotNull()).repartition(f"{name}_at").distinct()
+        self.folded[tag] = name, small
+        self.held.setdefault(large, []).append((name, hit.groupBy(f"{name}_at").agg(F.collect_list(name).alias(name))))
+
+    def between(self, n: Scope) -> tuple[str, str] | None:
+        """Two scans of the match without hops that the inner block connects, the second by one hop and no other."""
+        s = self.c.scope
+        pair = self.mentioned(n) & set(s.types)
+        if len(pair) != 2 or not pair <= {b.var for b in s.bindings} or any(pair & {h.src, h.dst} for h in s.hops):
+            return None
+        for a, b in (sorted(pair), sorted(pair, reverse=True)):
+            at = [h for h in n.hops if b in (h.src, h.dst)]
+            if len(at) != 1 or (at[0].low, at[0].high) != (1, 1) or at[0].src == at[0].dst:
+                continue
+            reached, rest = {a}, [{h.src, h.dst} for h in n.hops if h not in at]
+            for _ in rest:
+                reached = reached.union(*[ends for ends in rest if ends & reached])
+            if reached & {at[0].src, at[0].dst}:
+                return a, b
+        return None
+
+    def linked(self, n: Scope, a: str, b: str, tag: int) -> DataFrame:
+        """Ids of ``a`` and ``b`` for which the inner block matches, from its own edges; they may repeat.
+
+        The two sides of the hop to ``b`` are reduced to what is used beyond it, without repeats, before they meet. They meet
+        under the match's own conditions between the two scans, too: pairs that it doesn't have aren't made.
+        """
+        s = self.c.scope
+        saved, self.types = self.types, {**s.types, **n.types}
+        h = next(h for h in n.hops if b in (h.src, h.dst))
+        middle, out = (h.src, h.out) if h.dst == b else (h.dst, not h.out)
+        filters = [*[f for f in s.filters if self.read(f) <= {a, b}], *n.filters]
+        rest = Scope(**{**vars(n), "hops": [x for x in n.hops if x is not h], "bindings": [x for x in n.bindings if x.var != b]})
+        left, bound = self.match(rest, self.scan(a, s.types[a], Scope(bindings=s.bindings)), {a: s.types[a]}, exists=True)
+        right = self.g.rows(h.edge).select(*[F.col(c).alias(v) for c, v in zip(("src", "dst") if out else ("dst", "src"), ("_from", f"{b}::id"), strict=True)])
+        both = Scope(bindings=[x for x in (*s.bindings, *n.bindings) if x.var == b], filters=filters, negations=n.negations)
+        whole, self.used = self.used, {}
+        self.use_scope(both)
+        if self.needs_table(b):
+            nodes = self.scan(b, s.types[b], both).withColumnRenamed(f"{b}::id", "_id")
+            right = right.join(F.broadcast(nodes) if b in self.small else nodes, col(b) == F.col("_id")).drop("_id")
+        for f in filters:
+            if self.read(f) <= set(bound):
+                left = left.filter(self.condition(f, left))
+            elif self.read(f) <= {b}:
+                right = right.filter(self.condition(f, right))
+        later = [f for f in filters if b in self.read(f) and not self.read(f) <= {b}]
+        self.used = {}
+        self.use_scope(Scope(filters=later, negations=n.negations))
+        beyond, self.used = self.used, whole
+
+        def reduced(df: DataFrame, ends: set[str], at: list[str]) -> DataFrame:
+            used = lambda v, prop: prop == "id" and v in beyond or {prop, "*"} & beyond.get(v, set())
+            return df.select(*[F.col(f"`{c}`") for c in df.columns if c in ends or used(*c.split("::"))]).repartition(*[F.col(f"`{c}`") for c in at]).distinct()
+
+        keys = [(f"{middle}::id", "_from")]
+        for f in later:
+            ends = [e for e in (f.left, f.right) if isinstance(e, Q.PropRef)]
+            if f.op == "=" and len(ends) == 2 and self.type(f.left).scalar == self.type(f.right).scalar:
+                keys.append(tuple(f"{e.var}::{e.prop}" for e in sorted(ends, key=lambda e: e.var == b)))
+        left = reduced(left, {f"{a}::id", f"{middle}::id"}, [k for k, _ in keys])
+        right = reduced(right, {"_from", f"{b}::id"}, [k for _, k in keys])
+        inner = left.join(right, col(middle) == F.col("_from")).drop("_from")
+        bound[b] = s.types[b]
+        for f in later:
+            inner = inner.filter(self.condition(f, inner))
+        for i, m in enumerate(n.negations):
+            inner = self.negate(inner, m, bound, tag * 10 + i + 1)
+        self.types = saved
+        return inner
+
+    def read(self, f: Q.Filter) -> set[str]:
+        return (variables(f.left) | variables(f.right)) - set(self.c.query.params)
+
     def mentioned(self, s: Scope) -> set[str]:
         out = {b.var for b in s.bindings} | {v for h in s.hops for v in (h.src, h.dst)}
         for f in s.filters:
@@ -423,6 +547,9 @@ class Planner:
         s, body = self.c.scope, self.c.query.body
         self.types = s.types
         self.use_indexes(s, body)
+        if not self.calls(s):  # ranks are made of the rows of the match before negations
+            for i, n in enumerate(s.negations):
+                self.fold(n, i + 1)
         df, bound = self.match(s, None, {})
         for f in s.filters:
             if self.pushable(f):

@@ -66,5 +66,9 @@ def graph(spark: SparkSession, d: str) -> Graph:
         "Supplies": lambda: line("l_suppkey"),
         "Next": following,
     }
+    def items(src: str) -> DataFrame:
+        return read(spark, d, "lineitem").select(F.col(src).alias("src"), F.col("l_partkey").alias("dst"))
+
+    loose = {"Contains": lambda: items("l_orderkey"), "Supplies": lambda: items("l_suppkey")}
     # The keys of these make their pairs unique: one nation per customer, one customer per order, grouped lines.
-    return Graph(parse_schema(SCHEMA), Lazy(nodes), Lazy(edges), simple=set(edges))
+    return Graph(parse_schema(SCHEMA), Lazy(nodes), Lazy(edges), simple=set(edges), loose=Lazy(loose))
